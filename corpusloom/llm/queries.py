@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, lookalikes, mixing, pieces, survivors
+from corpusloom.llm import bpe, lookalikes, mixing, pieces, reading, survivors
 from corpusloom.runtime import table
 
 TEXTS = ["markdown", "plain_text"]
@@ -54,12 +54,20 @@ def p7_temperature(spark, folder):
     return mixing.temperature_report(table(spark, folder, "documents"), size_ratio=0.5, max_repeats=4)
 
 
+def p8_found(spark, folder):
+    return reading.reading_levels(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
+
+
+def p8_profile(spark, folder):
+    return reading.level_profile(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
+
+
 def queries():
     return {
         f.__name__: f
         for f in (
             p1_found, p1_pieces, p4_found, p4_forms, p5_found, p5_records,
-            p6_ids, p7_mix, p7_shares, p7_temperature,
+            p6_ids, p7_mix, p7_shares, p7_temperature, p8_found, p8_profile,
         )
     }
 
