@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import bpe, lookalikes, mixing, pieces, reading, survivors
+from corpusloom.llm import bpe, lookalikes, maincontent, mixing, pieces, reading, survivors
 from corpusloom.runtime import table
 
 TEXTS = ["markdown", "plain_text"]
@@ -16,6 +16,18 @@ def p1_pieces(spark, folder):
     return pieces.split_oversized(table(spark, folder, "clean_content"), "content_id", TEXTS)
 
 
+def _pages(spark, folder):
+    return maincontent.page_table(table(spark, folder, "raw_tabs"), table(spark, folder, "raw_tab_details"))
+
+
+def p3_found(spark, folder):
+    return maincontent.main_content(_pages(spark, folder)).select("page_id", "block_no")
+
+
+def p3_text(spark, folder):
+    return maincontent.main_content(_pages(spark, folder))
+
+
 def p4_found(spark, folder):
     values = lookalikes.text_values(table(spark, folder, "disease_documents"), table(spark, folder, "search_candidates"))
     return lookalikes.lookalike_pairs(values)
@@ -66,7 +78,7 @@ def queries():
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_pieces, p4_found, p4_forms, p5_found, p5_records,
+            p1_found, p1_pieces, p3_found, p3_text, p4_found, p4_forms, p5_found, p5_records,
             p6_ids, p7_mix, p7_shares, p7_temperature, p8_found, p8_profile,
         )
     }
