@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from corpusloom.operators import snapshot_diff
+from corpusloom.plans import state_queries
 from corpusloom.runtime import table
 
 
+PARTS = [state_queries]
+
+
 def p2_found(spark, folder):
     return snapshot_diff.snapshot_changes(table(spark, folder, "report_items"), table(spark, folder, "crawl_jobs"))
 
 
 def queries():
-    return {"p2_found": p2_found}
+    return {"p2_found": p2_found} | {f.__name__: f for part in PARTS for f in part.QUERIES}
 
 
 P2_FOUND = """
@@ -39,4 +43,4 @@ WHERE o.here IS NULL OR n.here IS NULL OR o.h <> n.h
 
 
 def oracle_sql():
-    return {"p2_found": P2_FOUND}
+    return {"p2_found": P2_FOUND} | {name: sql for part in PARTS for name, sql in part.SQL.items()}

@@ -43,6 +43,7 @@ def map_batches(
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``folder``; a file or a folder of files."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
