@@ -275,10 +275,10 @@ def furniture_texts(pages: DataFrame) -> list[str]:
         .groupBy("entry")
         .agg(F.count("*").alias("pages"), F.sum("inside").alias("inside"))
     )
-    total = counts.where("entry = ''").select(F.col("pages").alias("all_pages"))
+    total = counts.where("entry = ''").select("pages").scalar()
     frequent = (
         counts.where("entry <> ''")
-        .crossJoin(total)  # one row
+        .withColumn("all_pages", total)
         .where(F.col("pages") >= F.greatest(F.lit(LEAST_PAGES), F.col("all_pages") * CLAUSE_SHARE))
         .where(
             F.when(F.col("entry").startswith("="), F.col("pages") >= F.col("all_pages") * BLOCK_SHARE).otherwise(

@@ -83,13 +83,12 @@ def mix_budgets(totals: DataFrame, plans: DataFrame, targets: DataFrame) -> Data
     Null, zero or negative weights, null or zero max_repeats, null mixes and sources without
     documents get no budget.
     """
-    everything = totals.agg(F.coalesce(F.sum("size_tokens"), F.lit(0)).alias("all_tokens"))
+    everything = totals.agg(F.coalesce(F.sum("size_tokens"), F.lit(0)).alias("all_tokens")).scalar()
     wanted = (
         plans.where(F.col("mix_id").isNotNull())
         .groupBy("mix_id")
         .agg(F.max("size_ratio").alias("size_ratio"))
-        .join(everything)  # one row
-        .select("mix_id", (F.coalesce("size_ratio", F.lit(0.0)) * F.col("all_tokens")).alias("wanted_tokens"))
+        .select("mix_id", (F.coalesce("size_ratio", F.lit(0.0)) * everything).alias("wanted_tokens"))
     )
     rows = (
         targets.where(F.col("source").isNotNull())
