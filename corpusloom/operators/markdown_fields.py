@@ -66,8 +66,8 @@ def table_fields(documents: DataFrame, key: str, markdown: str) -> DataFrame:
     pipes = F.length("line") - F.length(F.replace(F.col("line"), F.lit("|"), F.lit("")))
     rows = lines.where(F.col("line").startswith("|") & (pipes >= 3)).select(key, "line_no", table_cells(F.col("line")).alias("cells"))
     rows = rows.where(F.size("cells") >= 2).select(
-        key, "line_no", F.try_element_at(labels, fold(plain_text(F.element_at("cells", 1)))).alias("field"),
-        F.trim(F.element_at("cells", 2)).alias("value"),
+        key, "line_no", F.try_element_at(labels, fold(plain_text(F.try_element_at("cells", F.lit(1))))).alias("field"),
+        F.trim(F.try_element_at("cells", F.lit(2))).alias("value"),
     )
     return rows.where(F.col("field").isNotNull() & ~F.col("value").rlike(r"^[-:]*$"))
 
