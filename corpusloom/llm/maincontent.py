@@ -76,57 +76,61 @@ def text_blocks(page: str) -> list[Block]:
     are closed by it, so that unclosed paragraphs, items, rows and cells do not nest.
     """
     out: list[Block] = []
-    tags, names, ids = [], [], []
-    state = {"next": 1, "text": [], "linked": 0, "leads": False, "in": False}
+    tags: list[str] = []
+    paths: list[str] = [""]
+    ids: list[tuple[int, ...]] = [()]
+    parts: list[str] = []
+    linked, leads, in_link, number, at = 0, False, False, 0, 0
 
-    def flush() -> None:
-        text = html.unescape("".join(state["text"])).strip()
-        if text:
-            out.append(Block(text, "/".join(names), tags[-1] if tags else "", tuple(ids), state["linked"], state["leads"]))
-        state["text"], state["linked"], state["leads"] = [], 0, False
+    def close(k: int) -> None:
+        del tags[k:], paths[k + 1 :], ids[k + 1 :]
 
-    def take(raw: str) -> None:
+    for m in [*TOKEN.finditer(page), None]:
+        raw = page[at : m.start()] if m else page[at:]
         if raw:
-            if state["in"] and (n := len(html.unescape(raw).strip())):
-                state["leads"] |= not "".join(state["text"]).strip()
-                state["linked"] += n
-            state["text"].append(raw)
-
-    at = 0
-    for m in TOKEN.finditer(page):
-        take(page[at : m.start()])
-        at = m.end()
-        tag = m.group(3)
-        if tag is None:
-            if not m.group(0).startswith("<!--"):
-                flush()
+            if in_link and (n := len(_decoded(raw).strip())):
+                leads = leads or not "".join(parts).strip()
+                linked += n
+            parts.append(raw)
+        if m:
+            at = m.end()
+            tag = m.group(3)
+            if tag:
+                tag = tag.lower()
+                if tag in RUNNING:
+                    if tag == "a":
+                        in_link = not m.group(2)
+                    elif tag == "br":
+                        parts.append(" ")
+                    continue
+            elif m.group(0).startswith("<!--"):
+                continue
+        if parts:
+            text = _decoded("".join(parts)).strip()
+            if text:
+                out.append(Block(text, paths[-1], tags[-1] if tags else "", ids[-1], linked, leads))
+            parts, linked, leads = [], 0, False
+        if not m or not tag:
             continue
-        tag = tag.lower()
-        if tag in RUNNING:
-            if tag == "a":
-                state["in"] = not m.group(2)
-            elif tag == "br":
-                state["text"].append(" ")
-            continue
-        flush()
         if m.group(2):
             if tag in tags:
-                k = len(tags) - 1 - tags[::-1].index(tag)
-                del tags[k:], names[k:], ids[k:]
+                close(len(tags) - 1 - tags[::-1].index(tag))
         elif tag not in EMPTY:
             for over in CLOSES.get(tag, ()):
                 if tags and tags[-1] == over:
-                    tags.pop(), names.pop(), ids.pop()
-            own = NAME.search(m.group(4) or "")
+                    close(len(tags) - 1)
+            own = NAME.search(m.group(4)) if m.group(4) else None
+            number += 1
             tags.append(tag)
-            names.append(tag + ("." + next(filter(None, own.groups()), "") if own else ""))
-            ids.append(state["next"])
-            state["next"] += 1
-    take(page[at:])
-    flush()
+            paths.append(f"{paths[-1]}/{tag}.{own.group(1) or own.group(2) or own.group(3) or ''}" if own else f"{paths[-1]}/{tag}")
+            ids.append((*ids[-1], number))
     return out
 
 
+def _decoded(text: str) -> str:
+    return html.unescape(text) if "&" in text else text
+
+
 def masked(text: str) -> str:
     return DIGITS.sub("0", " ".join(text.split()).lower())
 
@@ -161,16 +165,18 @@ def is_pointer(b: Block) -> bool:
     return b.linked > 0.4 * len(b.text) or (b.leads and b.text[b.linked : b.linked + 4].lstrip().startswith(":"))
 
 
-def body_of(blocks: list[Block], furniture: frozenset[str] = frozenset()) -> set[int]:
+def body_of(blocks: list[Block], furniture: frozenset[str] = frozenset(), furnished: list[bool] | None = None) -> set[int]:
     """Indices of the blocks within the element that holds the main text, furniture included.
 
     Each block weighs for or against its elements, text by its path's ratio; of all
     elements the one of the greatest sum, the innermost of equals, is the body. A body
     needs a heading or several paragraphs; without one the page has no main text.
     """
+    if furnished is None:
+        furnished = [is_furniture(b, furniture) for b in blocks]
     ratio = path_ratios(blocks)
     gain: dict[int, float] = defaultdict(float)
-    for b, r in zip(blocks, ratio, strict=True):
+    for b, r, f in zip(blocks, ratio, furnished, strict=True):
         if b.tag == "h1":
             v = 1.5
         elif b.tag in HEADINGS:
@@ -181,7 +187,7 @@ def body_of(blocks: list[Block], furniture: frozenset[str] = frozenset()) -> set
             v = -1.0
         elif is_pointer(b):
             v = -0.2
-        elif is_furniture(b, furniture):
+        elif f:
             v = -0.15
         elif ENDS.search(b.text):
             v = (0.4 + r) * min(len(b.text), 400) / 100
@@ -193,7 +199,7 @@ def body_of(blocks: list[Block], furniture: frozenset[str] = frozenset()) -> set
         return set()
     best = max(gain, key=lambda e: (round(gain[e], 6), e))
     inside = {i for i, b in enumerate(blocks) if best == 0 or best in b.within}
-    kept = [blocks[i] for i in inside if not is_furniture(blocks[i], furniture) and not is_pointer(blocks[i])]
+    kept = [blocks[i] for i in inside if not furnished[i] and not is_pointer(blocks[i])]
     prose = sum(len(b.text) for b in kept if b.tag not in HEADINGS and ENDS.search(b.text))
     if gain[best] <= 0 or not (any(b.tag in HEADINGS for b in kept) or prose >= 200):
         return set()
@@ -218,11 +224,12 @@ def is_furniture(b: Block, furniture: frozenset[str]) -> bool:
 def main_blocks(page: str, furniture: frozenset[str] = frozenset()) -> list[tuple[int, Block]]:
     """(block_no, block) of the main text of a page, counted from 1."""
     blocks = text_blocks(page)
-    inside = body_of(blocks, furniture)
+    furnished = [is_furniture(b, furniture) for b in blocks]
+    inside = body_of(blocks, furniture, furnished)
     out = []
     for i in sorted(inside):
         b = blocks[i]
-        if b.tag == "button" or is_furniture(b, furniture):
+        if b.tag == "button" or furnished[i]:
             continue
         if is_pointer(b) and b.tag not in ("li", "td", "th", "dt", "dd", *HEADINGS):
             continue
@@ -253,7 +260,7 @@ def furniture_texts(pages: DataFrame) -> list[str]:
                 for d, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     blocks = text_blocks(page)
                     inside = body_of(blocks)
-                    found: dict[str, int] = {"": 1}
+                    found: dict[str, int] = {}
                     for i, b in enumerate(blocks):
                         if b.tag in HEADINGS or b.tag in CELLS:
                             continue
@@ -275,13 +282,12 @@ def furniture_texts(pages: DataFrame) -> list[str]:
         .groupBy("entry")
         .agg(F.count("*").alias("pages"), F.sum("inside").alias("inside"))
     )
-    total = counts.where("entry = ''").select("pages").scalar()
+    total = source.select("digest").distinct().count()
     frequent = (
-        counts.where("entry <> ''")
-        .withColumn("all_pages", total)
-        .where(F.col("pages") >= F.greatest(F.lit(LEAST_PAGES), F.col("all_pages") * CLAUSE_SHARE))
+        counts
+        .where(F.col("pages") >= max(LEAST_PAGES, total * CLAUSE_SHARE))
         .where(
-            F.when(F.col("entry").startswith("="), F.col("pages") >= F.col("all_pages") * BLOCK_SHARE).otherwise(
+            F.when(F.col("entry").startswith("="), F.col("pages") >= total * BLOCK_SHARE).otherwise(
                 F.col("inside") <= 0.5 * F.col("pages")
             )
         )
