@@ -10,9 +10,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
 from corpusloom.runtime import map_batches
 
@@ -54,7 +55,8 @@ ANSWERS = frozenset(("yes", "no", "ja", "nein"))
 #: A clause is furniture if it stands outside the body on most pages that have it, and on this
 #: share of all different pages; a whole block if it recurs on BLOCK_SHARE of them.
 CLAUSE_SHARE, BLOCK_SHARE, LEAST_PAGES = 0.003, 0.03, 6
-CLAUSES_IN_PAGE = 4000
+MOST_ENTRIES = 2_000_000
+WHOLE = 2
 
 
 @dataclass
@@ -135,6 +137,11 @@ def masked(text: str) -> str:
     return DIGITS.sub("0", " ".join(text.split()).lower())
 
 
+def entry_id(text: str) -> int:
+    """64 bits that stand for a clause or a whole block in all tables of the corpus."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - 2**63
+
+
 def clauses(text: str) -> list[str]:
     """The clauses of a text, digits masked, without those of a single short word."""
     return [c for c in (x.strip() for x in CLAUSE.split(masked(text))) if len(c) > 8]
@@ -165,7 +172,7 @@ def is_pointer(b: Block) -> bool:
     return b.linked > 0.4 * len(b.text) or (b.leads and b.text[b.linked : b.linked + 4].lstrip().startswith(":"))
 
 
-def body_of(blocks: list[Block], furniture: frozenset[str] = frozenset(), furnished: list[bool] | None = None) -> set[int]:
+def body_of(blocks: list[Block], furniture: frozenset[int] = frozenset(), furnished: list[bool] | None = None) -> set[int]:
     """Indices of the blocks within the element that holds the main text, furniture included.
 
     Each block weighs for or against its elements, text by its path's ratio; of all
@@ -206,7 +213,7 @@ def body_of(blocks: list[Block], furniture: frozenset[str] = frozenset(), furnis
     return inside
 
 
-def is_furniture(b: Block, furniture: frozenset[str]) -> bool:
+def is_furniture(b: Block, furniture: frozenset[int]) -> bool:
     if b.tag in HEADINGS or b.tag in CELLS:
         return False
     if b.text.lower() in ANSWERS or FURNITURE.search(b.text):
@@ -214,14 +221,14 @@ def is_furniture(b: Block, furniture: frozenset[str]) -> bool:
     if not furniture or (b.tag in ("li", "dt", "dd") and b.linked > 0.5 * len(b.text)):
         return False
     whole = masked(b.text)
-    if "=" + whole in furniture and b.tag not in ("li", "dt", "dd"):
+    if entry_id("=" + whole) in furniture and b.tag not in ("li", "dt", "dd"):
         return True
     parts = clauses(b.text)
-    known = sum(len(c) for c in parts if c in furniture)
+    known = sum(len(c) for c in parts if entry_id(c) in furniture)
     return bool(parts) and known > 0.5 * sum(map(len, parts))
 
 
-def main_blocks(page: str, furniture: frozenset[str] = frozenset()) -> list[tuple[int, Block]]:
+def main_blocks(page: str, furniture: frozenset[int] = frozenset()) -> list[tuple[int, Block]]:
     """(block_no, block) of the main text of a page, counted from 1."""
     blocks = text_blocks(page)
     furnished = [is_furniture(b, furniture) for b in blocks]
@@ -242,15 +249,16 @@ def page_table(tabs: DataFrame, details: DataFrame) -> DataFrame:
     return tabs.select("page_id", "html").union(details.select("page_id", "html"))
 
 
-def furniture_texts(pages: DataFrame) -> list[str]:
-    """Clauses and whole blocks ('=' before them) that are furniture of the corpus.
+def furniture_entries(pages: DataFrame) -> list[int]:
+    """Ids of clauses and whole blocks ('=' before them) that are furniture of the corpus.
 
     Pages with the same html count once, so that copies make nothing furniture. What is
-    returned stands on at least CLAUSE_SHARE of all different pages: with at most
-    CLAUSES_IN_PAGE entries of a page that bounds it, whatever the number of pages.
+    returned stands on at least CLAUSE_SHARE of all different pages, so there are at most
+    1 / CLAUSE_SHARE times as many of them as an average page has clauses, however many
+    pages there are; more than MOST_ENTRIES are an error.
     """
-    shape = StructType().add("digest", "binary").add("entry", StringType()).add("inside", IntegerType())
-    source = pages.where("html is not null and html <> ''").select(F.unhex(F.md5("html")).alias("digest"), "html")
+    shape = StructType().add("digest", LongType()).add("entry", LongType()).add("place", IntegerType())
+    source = pages.where("html is not null and html <> ''").select(F.xxhash64("html").alias("digest"), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -260,39 +268,42 @@ def furniture_texts(pages: DataFrame) -> list[str]:
                 for d, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     blocks = text_blocks(page)
                     inside = body_of(blocks)
-                    found: dict[str, int] = {}
+                    found: dict[int, int] = {}
                     for i, b in enumerate(blocks):
                         if b.tag in HEADINGS or b.tag in CELLS:
                             continue
-                        for c in ("=" + masked(b.text), *clauses(b.text)):
-                            if len(c) < 400 and len(found) < CLAUSES_IN_PAGE:
-                                found[c] = max(found.get(c, 0), int(i in inside))
+                        for k, c in enumerate(("=" + masked(b.text), *clauses(b.text))):
+                            e = entry_id(c)
+                            found[e] = found.get(e, 0) | (i in inside) | (0 if k else WHOLE)
                     digest += [d] * len(found)
                     entry += found
                     place += found.values()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest, pa.binary()), pa.array(entry, pa.string()), pa.array(place, pa.int32())],
-                    names=["digest", "entry", "inside"],
+                    [pa.array(digest, pa.int64()), pa.array(entry, pa.int64()), pa.array(place, pa.int32())],
+                    names=["digest", "entry", "place"],
                 )
 
     counts = (
         map_batches(source, run, shape)
         .groupBy("entry", "digest")
-        .agg(F.max("inside").alias("inside"))
+        .agg(F.bit_or("place").alias("place"))
         .groupBy("entry")
-        .agg(F.count("*").alias("pages"), F.sum("inside").alias("inside"))
+        .agg(F.count("*").alias("pages"), F.sum(F.col("place").bitwiseAND(1)).alias("inside"), F.max("place").alias("place"))
     )
     total = source.select("digest").distinct().count()
     frequent = (
         counts
         .where(F.col("pages") >= max(LEAST_PAGES, total * CLAUSE_SHARE))
         .where(
-            F.when(F.col("entry").startswith("="), F.col("pages") >= total * BLOCK_SHARE).otherwise(
+            F.when(F.col("place") >= WHOLE, F.col("pages") >= total * BLOCK_SHARE).otherwise(
                 F.col("inside") <= 0.5 * F.col("pages")
             )
         )
     )
-    return [r["entry"] for r in frequent.select("entry").collect()]
+    found = [r["entry"] for r in frequent.select("entry").limit(MOST_ENTRIES + 1).collect()]
+    if len(found) > MOST_ENTRIES:
+        raise ValueError("the pages have too many clauses in common to be told apart")
+    return found
 
 
 def main_content(pages: DataFrame) -> DataFrame:
@@ -302,7 +313,7 @@ def main_content(pages: DataFrame) -> DataFrame:
     Null and empty pages, and pages without main text, give no rows; repeated rows give
     repeated rows; further columns are ignored.
     """
-    furniture = pages.sparkSession.sparkContext.broadcast(frozenset(furniture_texts(pages)))
+    furniture = pages.sparkSession.sparkContext.broadcast(frozenset(furniture_entries(pages)))
     shape = StructType([pages.schema["page_id"]]).add("block_no", IntegerType()).add("text", StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
