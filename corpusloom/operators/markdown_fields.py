@@ -85,7 +85,9 @@ def intro_blocks(documents: DataFrame, key: str, markdown: str) -> DataFrame:
     is summary.
     """
     before = F.split(F.regexp_replace(F.col(markdown), r"\r\n?", "\n"), r"\n\|", 2)[0]
-    blocks = F.filter(F.transform(F.split(before, r"\n\s*\n"), F.trim), lambda x: x != "")
+    blocks = F.filter(
+        F.transform(F.split(before, r"\n\s*\n"), lambda x: F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")), lambda x: x != ""
+    )
     rows = documents.where(F.col(markdown).isNotNull()).select(
         key, document_name(F.col(markdown)).alias("name"), F.posexplode(blocks).alias("block_no", "block")
     )

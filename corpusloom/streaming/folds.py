@@ -14,12 +14,14 @@ def event_stream(spark, folder: str, schema) -> DataFrame:
 
 def first_seen(events: DataFrame, key: str, time: str, late: str = "1 day") -> DataFrame:
     """The first row of each key; keys are forgotten once the watermark has passed."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
 def windowed_counts(events: DataFrame, time: str, kind: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """(window, kind, n): counts by tumbling window, final once the watermark has passed."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width), kind).agg(F.count("*").alias("n"))
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, late).groupBy(F.window(time, width), kind).agg(F.count("*").alias("n"))
 
 
 def latest_state(events: DataFrame, key: str, event: str, order: list[str]) -> DataFrame:
