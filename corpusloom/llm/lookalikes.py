@@ -112,6 +112,7 @@ class Transducer:
         for c, to in self.rules.items():
             self._add(c, to)
         ignored = "".join(sorted(f"\\U{ord(c):08x}" for c, to in self.rules.items() if not to))
+        ignored += chr(0xFF9E) + chr(0xFF9F)  # half-width voicing marks belong to the letter before
         plain = r"\x09-\x0d\x1c-\x7e"
         self.cluster = regex.compile(
             rf"[{JAMO}]+|(?:[^{plain}]|[{plain}](?=[\p{{M}}{ignored}]))[\p{{M}}{ignored}]*"

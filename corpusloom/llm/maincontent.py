@@ -177,7 +177,8 @@ def body_of(blocks: list[Block], furniture: frozenset[int] = frozenset(), furnis
 
     Each block weighs for or against its elements, text by its path's ratio; of all
     elements the one of the greatest sum, the innermost of equals, is the body. A body
-    needs a heading or several paragraphs; without one the page has no main text.
+    needs text of its own under a heading, or several paragraphs; without one the page has
+    no main text.
     """
     if furnished is None:
         furnished = [is_furniture(b, furniture) for b in blocks]
@@ -207,8 +208,9 @@ def body_of(blocks: list[Block], furniture: frozenset[int] = frozenset(), furnis
     best = max(gain, key=lambda e: (round(gain[e], 6), e))
     inside = {i for i, b in enumerate(blocks) if best == 0 or best in b.within}
     kept = [blocks[i] for i in inside if not furnished[i] and not is_pointer(blocks[i])]
-    prose = sum(len(b.text) for b in kept if b.tag not in HEADINGS and ENDS.search(b.text))
-    if gain[best] <= 0 or not (any(b.tag in HEADINGS for b in kept) or prose >= 200):
+    under = [b for b in kept if b.tag not in HEADINGS]
+    prose = sum(len(b.text) for b in under if ENDS.search(b.text))
+    if gain[best] <= 0 or not under or (len(under) == len(kept) and prose < 200):
         return set()
     return inside
 

@@ -19,7 +19,8 @@ COSTS = (0.0, 0.6, 1.0, 2.5, 4.0, 40.0)
 AFTER_HEADING = 3.0
 PIECE = 2.0
 BALANCE = 2.0
-#: At most one boundary, the best, is kept in a stretch of this many characters.
+#: At most one boundary, the best, is kept in a stretch of this many characters (of less than
+#: an eighth of a piece).
 CELL = 48
 
 PARAGRAPHS = re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)(?:[ \t]*(?:\r\n|\n|\r))*")
@@ -59,10 +60,10 @@ def boundaries(text: str) -> dict[int, float]:
     return costs
 
 
-def _thin(costs: dict[int, float]) -> list[tuple[int, float]]:
+def _thin(costs: dict[int, float], cell: int) -> list[tuple[int, float]]:
     best: dict[int, tuple[float, int]] = {}
     for at, cost in costs.items():
-        k = at // CELL
+        k = at // cell
         if k not in best or (cost, at) < best[k]:
             best[k] = (cost, at)
     return sorted((at, cost) for cost, at in best.values())
@@ -73,7 +74,8 @@ def cut_places(text: str, limit: int = 4000, overlap: int = 200) -> list[int]:
     n, step = len(text), limit - overlap
     if n <= limit:
         return [n]
-    places = _thin(boundaries(text))
+    cell = max(1, min(CELL, step // 8))
+    places = _thin(boundaries(text), cell)
     # between far boundaries: clauses and words, and where there is none, grapheme clusters
     for widest, finer, cost in ((step // 3, (CLAUSES, WORDS), (COSTS[CLAUSE], COSTS[WORD])), (step, None, None)):
         more: dict[int, float] = {}
@@ -88,7 +90,7 @@ def cut_places(text: str, limit: int = 4000, overlap: int = 200) -> list[int]:
                             more[m.end()] = min(c, more.get(m.end(), c))
             else:
                 more |= dict.fromkeys(_between_clusters(text, a, b, step), COSTS[CHARACTER])
-        places = sorted([*places, *_thin(more)])
+        places = sorted([*places, *_thin(more, cell)])
     ends = [0, *[at for at, _ in places], n]
     price = [0.0, *[cost for _, cost in places], 0.0]
     pieces = max(1, -(-(n - overlap) // step))

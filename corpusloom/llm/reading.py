@@ -17,9 +17,10 @@ from corpusloom.runtime import map_batches
 LEVELS = (1, 2, 3, 4, 5)
 SAMPLE = 1000
 LEAST_WORDS = 40
-ROUNDS = 4
 LEAST_SENTENCES = 3
-CONCENTRATION = 0.75
+#: Share of its best level that a word needs to be graded, in each round; the second way is for
+#: texts with many sentences of other levels, where labels of whole texts tell little at first.
+CONCENTRATIONS = ((0.75,) * 4, (0.5, 0.6, 0.7, 0.75))
 LEAST_GRADED = 2
 QUANTILES = (0.25, 0.4, 0.5, 0.6, 0.75)
 #: Text without sentence ends is judged in stretches of this many words.
@@ -95,6 +96,12 @@ class ReadingModel:
 
 
 def fit_levels(labelled: Sequence[tuple[str, int]]) -> ReadingModel:
+    """The model that tells most of the labelled texts, of one fit for each of CONCENTRATIONS."""
+    fits = [fit_once(labelled, c) for c in CONCENTRATIONS]
+    return max(fits, key=lambda m: sum(m.level(text or "") == level for text, level in labelled))
+
+
+def fit_once(labelled: Sequence[tuple[str, int]], concentrations: Sequence[float]) -> ReadingModel:
     """A model from labelled texts.
 
     The grade of a word is its mean level over the sentences that have it, each level
@@ -111,7 +118,7 @@ def fit_levels(labelled: Sequence[tuple[str, int]]) -> ReadingModel:
     if not told:
         return model
     current: list[int | None] = [level for _, _, level in told]
-    for _ in range(ROUNDS):
+    for concentration in concentrations:
         total, seen = [0] * 5, {}
         for (distinct, _, _), level in zip(told, current, strict=True):
             if level is not None:
@@ -122,7 +129,7 @@ def fit_levels(labelled: Sequence[tuple[str, int]]) -> ReadingModel:
         for w, by_level in seen.items():
             if sum(by_level) >= LEAST_SENTENCES:
                 share = [n / max(t, 1) for n, t in zip(by_level, total, strict=True)]
-                if max(share) >= CONCENTRATION * sum(share):
+                if max(share) >= concentration * sum(share):
                     grades[w] = sum(x * s for x, s in zip(LEVELS, share, strict=True)) / sum(share)
         ordered = []
         for _, words, _ in told:
