@@ -114,9 +114,9 @@ class Transducer:
         ignored = "".join(sorted(f"\\U{ord(c):08x}" for c, to in self.rules.items() if not to))
         ignored += chr(0xFF9E) + chr(0xFF9F)  # half-width voicing marks belong to the letter before
         plain = r"\x09-\x0d\x1c-\x7e"
-        self.cluster = regex.compile(
-            rf"[{JAMO}]+|(?:[^{plain}]|[{plain}](?=[\p{{M}}{ignored}]))[\p{{M}}{ignored}]*"
-        )
+        # runs beyond plain ASCII, with the character before, that a mark may belong to
+        self.run = regex.compile(rf"[{plain}]?[^{plain}]+")
+        self.cluster = regex.compile(rf"[{JAMO}]+|.[\p{{M}}{ignored}]*", regex.DOTALL)
         self.kept: dict[str, str] = {}
 
     def _add(self, spelt: str, to: str) -> None:
@@ -127,13 +127,15 @@ class Transducer:
             raise ValueError(f"conflicting rules for {spelt!r}: {node['']!r} and {to!r}")
 
     def _one(self, found) -> str:
-        cluster = found.group()
-        to = self.kept.get(cluster)
-        if to is None:
-            if len(self.kept) > 100_000:
-                self.kept.clear()
-            to = self.kept[cluster] = self._walk(cluster)
-        return to
+        out = []
+        for cluster in self.cluster.findall(found.group()):
+            to = self.kept.get(cluster)
+            if to is None:
+                if len(self.kept) > 100_000:
+                    self.kept.clear()
+                to = self.kept[cluster] = self._walk(cluster)
+            out.append(to)
+        return "".join(out)
 
     def _walk(self, cluster: str) -> str:
         # invisible characters do not part a base from its marks
@@ -152,7 +154,7 @@ class Transducer:
         return unicodedata.normalize("NFC", "".join(out))  # marks beyond any composed character
 
     def __call__(self, text: str) -> str:
-        return self.cluster.sub(self._one, text)
+        return self.run.sub(self._one, text)
 
 
 @lru_cache(1)
