@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from corpusloom.runtime import map_batches
+from corpusloom.runtime import cut, map_batches
 
 #: Letters of other scripts whose shape is that of a Latin letter. Letters that
 #: only resemble one, such as alpha or beta, are not here: a reader tells them apart.
@@ -189,14 +189,12 @@ def lookalike_pairs(values: DataFrame) -> DataFrame:
     Null values pair with nothing. A pair comes once, however many values of its rows match.
     Values that nothing else looks like leave before the join; the others are joined by
     128-bit digests, so that no text is shuffled, and identical copies are never paired.
+    Forms are made once and kept in the shared folder, as two steps need them.
     """
     forms = consistent_form(values.where(F.col("value").isNotNull()).select("field_name", "key", "value"), "value")
-    spelt = forms.select(
-        "field_name",
-        "key",
-        F.unhex(F.md5("form")).alias("form"),
-        F.unhex(F.md5("value")).alias("value"),
-    ).distinct()
+    spelt = cut(
+        forms.select("field_name", "key", F.unhex(F.md5("form")).alias("form"), F.unhex(F.md5("value")).alias("value"))
+    )
     mixed = (
         spelt.groupBy("field_name", "form").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi")
     )
