@@ -47,8 +47,7 @@ FURNITURE = re.compile(
     r"|log ?in again|session has ended|all rights (?:are )?reserved|no liability|guarantee of completeness|no substitute for a visit"
     r"|not replace the advice|general education only|without professional supervision|share this page|tell a friend|print this (?:article|page)"
     r"|save as pdf|was this (?:page|article) helpful|war dieser artikel hilfreich|reader survey|premium library|download the app|min read"
-    r"|health letter in your inbox|cover in two minutes|alle rechte vorbehalten|haftungsausschluss|jetzt bestellen)\b",
-    re.IGNORECASE,
+    r"|health letter in your inbox|cover in two minutes|alle rechte vorbehalten|haftungsausschluss|jetzt bestellen)\b"
 )
 ANSWERS = frozenset(("yes", "no", "ja", "nein"))
 
@@ -69,6 +68,13 @@ class Block:
     within: tuple[int, ...]
     linked: int
     leads: bool
+    line: str | None = None
+
+    def masked(self) -> str:
+        """Its text on one line, in lower case, digits masked; made when first needed."""
+        if self.line is None:
+            self.line = masked(self.text)
+        return self.line
 
 
 def text_blocks(page: str) -> list[Block]:
@@ -142,9 +148,9 @@ def entry_id(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - 2**63
 
 
-def clauses(text: str) -> list[str]:
-    """The clauses of a text, digits masked, without those of a single short word."""
-    return [c for c in (x.strip() for x in CLAUSE.split(masked(text))) if len(c) > 8]
+def clauses(line: str) -> list[str]:
+    """The clauses of a masked line, without those of a single short word."""
+    return [c for c in (x.strip() for x in CLAUSE.split(line)) if len(c) > 8]
 
 
 def path_ratios(blocks: list[Block]) -> list[float]:
@@ -218,14 +224,14 @@ def body_of(blocks: list[Block], furniture: frozenset[int] = frozenset(), furnis
 def is_furniture(b: Block, furniture: frozenset[int]) -> bool:
     if b.tag in HEADINGS or b.tag in CELLS:
         return False
-    if b.text.lower() in ANSWERS or FURNITURE.search(b.text):
+    line = b.masked()
+    if line in ANSWERS or FURNITURE.search(line):
         return True
     if not furniture or (b.tag in ("li", "dt", "dd") and b.linked > 0.5 * len(b.text)):
         return False
-    whole = masked(b.text)
-    if entry_id("=" + whole) in furniture and b.tag not in ("li", "dt", "dd"):
+    if entry_id("=" + line) in furniture and b.tag not in ("li", "dt", "dd"):
         return True
-    parts = clauses(b.text)
+    parts = clauses(line)
     known = sum(len(c) for c in parts if entry_id(c) in furniture)
     return bool(parts) and known > 0.5 * sum(map(len, parts))
 
@@ -274,7 +280,7 @@ def furniture_entries(pages: DataFrame) -> list[int]:
                     for i, b in enumerate(blocks):
                         if b.tag in HEADINGS or b.tag in CELLS:
                             continue
-                        for k, c in enumerate(("=" + masked(b.text), *clauses(b.text))):
+                        for k, c in enumerate(("=" + b.masked(), *clauses(b.masked()))):
                             e = entry_id(c)
                             found[e] = found.get(e, 0) | (i in inside) | (0 if k else WHOLE)
                     digest += [d] * len(found)
