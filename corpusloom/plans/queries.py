@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from corpusloom.operators import snapshot_diff
-from corpusloom.plans import state_queries, text_queries
+from corpusloom.plans import evidence_queries, state_queries, text_queries
 from corpusloom.runtime import table
 
 
-PARTS = [state_queries, text_queries]
+PARTS = [state_queries, text_queries, evidence_queries]
 
 
 def p2_found(spark, folder):
