@@ -49,11 +49,15 @@ def tiered_matches(queries: DataFrame, labels: DataFrame, query: str, key: str,
     """
     asked = queries.select(query).distinct().withColumn("__q", search_name(F.col(query)))
     keyed = F.array(*[F.struct(F.lit(t).alias("tier"), (stem(F.col("__q")) if t == "plural" else F.col("__q")).alias("match_key")) for t in TIERS])
-    found = asked.select(query, F.inline(keyed)).join(match_keys(labels, key, label), ["tier", "match_key"])
+    # copies of a label are one row of the join
+    labelled = match_keys(labels, key, label).groupBy("tier", "match_key", label).agg(
+        F.count_distinct(key).alias("__n"), F.min(key).alias(key)
+    )
+    found = asked.select(query, F.inline(keyed)).join(labelled, ["tier", "match_key"])
     found = found.where((F.col("tier") != "plural") | is_plural_pair(F.col(query), F.col(label)))
     rank = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier"))
     best = found.groupBy(query, rank.alias("rank"), "tier").agg(
-        F.count_distinct(key).alias("n_candidates"), F.min(key).alias(key)
+        F.sum("__n").alias("n_candidates"), F.min(key).alias(key)
     )
     first = F.row_number().over(Window.partitionBy(query).orderBy("rank"))
     return best.withColumn("__n", first).where("__n = 1").select(

@@ -66,13 +66,25 @@ def state_fold(events: DataFrame, key: str, event: str, order: Sequence[str], st
     )
 
 
-def numbered_attempts(events: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Events with attempt_no, counted from 1 within their keys."""
-    return events.withColumn("attempt_no", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def numbered_attempts(events: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column) -> DataFrame:
+    """Events with attempt_no INT, counted from 1 within their keys in ``order``.
 
-
-def next_attempt(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return attempts.groupBy(*keys).agg((F.coalesce(F.max("attempt_no"), F.lit(0)) + 1).alias("next_attempt_no"))
+    ``bucket`` grows with the order (such as its day). Events are numbered within their bucket
+    and moved by the events of the buckets before, so that a key with a third of all events
+    is spread over as many tasks as it has buckets.
+    """
+    rows = events.withColumn("__b", bucket)
+    counts = rows.groupBy(*keys, "__b").agg(F.count("*").alias("__c"))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__o", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
+    within = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(*order))
+    numbered = rows.withColumn("__n", within).join(offsets, [*keys, "__b"])
+    return numbered.withColumn("attempt_no", (F.col("__n") + F.col("__o")).cast("int")).drop("__b", "__n", "__o")
+
+
+def next_attempt(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, next_attempt_no): one more than the events there are, combined before the shuffle."""
+    return events.groupBy(*keys).agg((F.count("*") + 1).cast("int").alias("next_attempt_no"))
 
 
 def backoff_seconds(attempt: Column, base: float, longest: float) -> Column:

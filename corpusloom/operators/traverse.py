@@ -66,19 +66,19 @@ def best_first(edges: DataFrame, seeds: DataFrame, scores: DataFrame, levels: in
     return seen
 
 
-def first_seen(pages: DataFrame, item: str, page: str) -> DataFrame:
-    """(page, n_new, stops): how many items each page shows first, and where a run of two
-    pages without new ones would end the reading."""
-    first = pages.groupBy(item).agg(F.min(page).alias(page)).groupBy(page).agg(F.count("*").alias("n_new"))
-    every = pages.select(page).distinct().join(first, page, "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)))
-    before = F.lag("n_new").over(Window.orderBy(page))
+def first_seen(pages: DataFrame, key: str, item: str, page: str) -> DataFrame:
+    """(key, page, n_new, stops): how many items each page of a walk shows first, and where a run
+    of two pages without new ones would end the reading. Windows are over the pages of one walk."""
+    first = pages.groupBy(key, item).agg(F.min(page).alias(page)).groupBy(key, page).agg(F.count("*").alias("n_new"))
+    every = pages.select(key, page).distinct().join(first, [key, page], "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)))
+    before = F.lag("n_new").over(Window.partitionBy(key).orderBy(page))
     return every.withColumn("stops", (F.col("n_new") == 0) & F.coalesce(before == 0, F.lit(False)))
 
 
 def loops(trace: DataFrame, key: str, page: str, order: str, most: int = 3) -> DataFrame:
     """(key, page, visits, first_over): pages that a walk visits ``most`` times or more."""
+    counted = trace.groupBy(key, page).agg(F.count("*").cast("int").alias("visits")).where(F.col("visits") >= most)
+    # only the first rows of each group leave their partitions
     nth = F.row_number().over(Window.partitionBy(key, page).orderBy(order))
-    counted = trace.withColumn("nth", nth)
-    return counted.groupBy(key, page).agg(
-        F.max("nth").alias("visits"), F.min(F.when(F.col("nth") == most, F.col(order))).alias("first_over")
-    ).where(F.col("visits") >= most)
+    over = trace.select(key, page, order).withColumn("nth", nth).where(F.col("nth") <= most).where(F.col("nth") == most)
+    return counted.join(over.select(key, page, F.col(order).alias("first_over")), [key, page])

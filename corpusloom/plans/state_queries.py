@@ -138,8 +138,7 @@ def item_state_fold(spark, d):
 
 
 def next_attempt_no(spark, d):
-    e = state.numbered_attempts(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"])
-    return state.next_attempt(e, ["user_id", "event_type"])
+    return state.next_attempt(table(spark, d, "events"), ["user_id", "event_type"])
 
 
 def stage_progress(spark, d):
@@ -150,7 +149,7 @@ def stage_progress(spark, d):
 
 
 def retry_backoff(spark, d):
-    e = state.numbered_attempts(table(spark, d, "events").where("event_type = 'error'"), ["user_id"], ["ts", "event_id"])
+    e = state.numbered_attempts(table(spark, d, "events").where("event_type = 'error'"), ["user_id"], ["ts", "event_id"], F.to_date("ts"))
     return e.groupBy("attempt_no").agg(F.count("*").alias("retries")).select(
         "attempt_no", "retries", state.backoff_seconds(F.col("attempt_no"), 2.0, 60.0).alias("wait_seconds")
     )

@@ -215,8 +215,8 @@ def best_first(spark, d):
 
 
 def pagination_stop(spark, d):
-    rows = table(spark, d, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("page"))
-    return traverse.first_seen(rows, "l_partkey", "page")
+    rows = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", F.to_date("l_shipdate").alias("page"))
+    return traverse.first_seen(rows, "l_suppkey", "l_partkey", "page")
 
 
 def loop_guard(spark, d):
@@ -336,9 +336,9 @@ SQL = {
     "bfs_paths": f"""WITH RECURSIVE p AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth, ['r' || r_regionkey] AS path FROM region
         UNION ALL SELECT root, child, depth + 1, list_append(path, child) FROM p JOIN {EDGES} ON node = parent WHERE depth < 2 AND NOT list_contains(path, child))
         SELECT root, node, depth, array_to_string(path, '>') AS path FROM p""",
-    "pagination_stop": """WITH f AS (SELECT l_partkey, min(CAST(l_shipdate AS DATE)) AS page FROM lineitem GROUP BY 1), n AS (SELECT page, count(*) AS n_new FROM f GROUP BY 1),
-        e AS (SELECT page, coalesce(n_new, 0) AS n_new FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS page FROM lineitem) LEFT JOIN n USING (page))
-        SELECT page, n_new, n_new = 0 AND coalesce(lag(n_new) OVER (ORDER BY page) = 0, false) AS stops FROM e""",
+    "pagination_stop": """WITH f AS (SELECT l_suppkey, l_partkey, min(CAST(l_shipdate AS DATE)) AS page FROM lineitem GROUP BY ALL), n AS (SELECT l_suppkey, page, count(*) AS n_new FROM f GROUP BY ALL),
+        e AS (SELECT l_suppkey, page, coalesce(n_new, 0) AS n_new FROM (SELECT DISTINCT l_suppkey, CAST(l_shipdate AS DATE) AS page FROM lineitem) LEFT JOIN n USING (l_suppkey, page))
+        SELECT l_suppkey, page, n_new, n_new = 0 AND coalesce(lag(n_new) OVER (PARTITION BY l_suppkey ORDER BY page) = 0, false) AS stops FROM e""",
     "loop_guard": """SELECT user_id, event_type, CAST(count(*) AS INTEGER) AS visits, min(event_id) FILTER (n = 3) AS first_over FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)
         GROUP BY user_id, event_type HAVING count(*) >= 3""",
     "direct_children": f"SELECT parent, count(*) AS children, min(child) AS first_child FROM {EDGES} GROUP BY parent",

@@ -118,3 +118,21 @@ def test_component_changes_and_order(spark):
     assert [r["changed"] for r in reports.component_changes(rows).collect()] == ["snapshot,title"]
     got = reports.ordered_distinct(rows.withColumn("job_id", F.lit("j")), "job_id", "warnings", ["report_row_id"]).orderBy("place").collect()
     assert [r["value"] for r in got] == ["b", "a", "c"]
+
+
+def test_numbered_attempts_of_a_hot_key(spark):
+    day = dt.datetime(2025, 1, 1)
+    rows = [(n, "hot" if n % 3 else f"k{n % 7}", day + dt.timedelta(hours=(n * 37) % 500)) for n in range(400)] + [(900, None, day)]
+    e = spark.createDataFrame(rows, "id int, k string, ts timestamp")
+    got = {r["id"]: r["attempt_no"] for r in state.numbered_attempts(e.where("k is not null"), ["k"], ["ts", "id"], F.to_date("ts")).collect()}
+    want, seen = {}, {}
+    for i, k, t in sorted((r for r in rows if r[1]), key=lambda r: (r[2], r[0])):
+        seen[k] = want[i] = seen.get(k, 0) + 1
+    assert got == want
+
+
+def test_loops_and_stops(spark):
+    trace = spark.createDataFrame([(1, "a", n) for n in range(5)] + [(1, "b", 9), (2, "a", 1)], "k int, page string, n int")
+    assert [tuple(r) for r in traverse.loops(trace, "k", "page", "n").select("k", "page", "visits", "first_over").collect()] == [(1, "a", 5, 2)]
+    pages = spark.createDataFrame([(1, "x", 1), (1, "x", 2), (1, "x", 3), (1, "y", 4)], "k int, item string, page int")
+    assert [r["page"] for r in traverse.first_seen(pages, "k", "item", "page").where("stops").collect()] == [3]
