@@ -182,38 +182,53 @@ def body_of(blocks: list[Block], furniture: frozenset[int] = frozenset(), furnis
     """Indices of the blocks within the element that holds the main text, furniture included.
 
     Each block weighs for or against its elements, text by its path's ratio; of all
-    elements the one of the greatest sum, the innermost of equals, is the body. A body
+    elements the one of the greatest sum, the innermost of equals, is the body, or the
+    innermost with all its headings that has most of that sum. A body
     needs text of its own under a heading, or several paragraphs; without one the page has
     no main text.
     """
     if furnished is None:
         furnished = [is_furniture(b, furniture) for b in blocks]
     ratio = path_ratios(blocks)
+    pointers = [is_pointer(b) for b in blocks]
     gain: dict[int, float] = defaultdict(float)
-    for b, r, f in zip(blocks, ratio, furnished, strict=True):
+    holds: dict[int, int] = defaultdict(int)
+    titles: list[Block] = []
+    for i, (b, r) in enumerate(zip(blocks, ratio, strict=True)):
         if b.tag == "h1":
             v = 1.5
+            titles.append(b)
         elif b.tag in HEADINGS:
-            v = 0.3
+            # a heading counts if it heads text
+            heads = i + 1 < len(blocks) and not (pointers[i + 1] or furnished[i + 1]) and set(b.within[:-1]) <= set(blocks[i + 1].within)
+            v = 0.5 if heads else -0.1
+            if heads:
+                titles.append(b)
         elif b.tag in CELLS and len(b.text) < 60:
             v = 0.0
         elif b.tag == "button":
-            v = -1.0
-        elif is_pointer(b):
-            v = -0.2
-        elif f:
-            v = -0.15
+            v = -0.5
+        elif pointers[i]:
+            v = -0.1
+        elif furnished[i]:
+            v = -0.05
         elif ENDS.search(b.text):
             v = (0.4 + r) * min(len(b.text), 400) / 100
         else:
             v = -0.1
         for e in (0, *b.within):
             gain[e] += v
-    if not gain:
+            holds[e] += 1
+    # what holds a single block is a paragraph, not a body
+    able = [e for e in gain if holds[e] > 1] or list(gain)
+    if not able:
         return set()
-    best = max(gain, key=lambda e: (round(gain[e], 6), e))
+    best = max(able, key=lambda e: (round(gain[e], 6), e))
+    if titles:  # notices around the body may add to it: within, all that is headed is enough
+        common = set(titles[0].within).intersection(*(b.within for b in titles))
+        best = max([best, *(e for e in common if holds[e] > 1 and gain[e] >= 0.6 * gain[best])])
     inside = {i for i, b in enumerate(blocks) if best == 0 or best in b.within}
-    kept = [blocks[i] for i in inside if not furnished[i] and not is_pointer(blocks[i])]
+    kept = [blocks[i] for i in inside if not furnished[i] and not pointers[i]]
     under = [b for b in kept if b.tag not in HEADINGS]
     prose = sum(len(b.text) for b in under if ENDS.search(b.text))
     if gain[best] <= 0 or not under or (len(under) == len(kept) and prose < 200):
@@ -278,8 +293,8 @@ def furniture_entries(pages: DataFrame) -> list[int]:
                     inside = body_of(blocks)
                     found: dict[int, int] = {}
                     for i, b in enumerate(blocks):
-                        if b.tag in HEADINGS or b.tag in CELLS:
-                            continue
+                        if b.tag in HEADINGS or b.tag in CELLS or is_pointer(b):
+                            continue  # never taken for furniture, or known without
                         for k, c in enumerate(("=" + b.masked(), *clauses(b.masked()))):
                             e = entry_id(c)
                             found[e] = found.get(e, 0) | (i in inside) | (0 if k else WHOLE)
