@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.runtime import cut
+
 FANOUT_BITS = 4
 OUTER_SPACE = " \t\r\n"
 
@@ -36,8 +38,8 @@ def snapshot_order(jobs: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_members(items: DataFrame, jobs: DataFrame) -> DataFrame:
-    """(plugin, seq, last_seq, item_id, snapshot_hash): one row for each item of each snapshot.
+def snapshot_members(items: DataFrame, order: DataFrame) -> DataFrame:
+    """(plugin, seq, last_seq, item_id, snapshot_hash): one row for each item of each snapshot of ``order``.
 
     Rows are combined before the shuffle, so that an item with very many rows costs
     no more than any other. Of several known hashes the one received last holds
@@ -50,7 +52,7 @@ def snapshot_members(items: DataFrame, jobs: DataFrame) -> DataFrame:
         F.when(known != "", F.struct("received_at", "report_row_id", known.alias("h"))).alias("best"),
     )
     return (
-        rows.join(snapshot_order(jobs), "job_id")
+        rows.join(order, "job_id")
         .groupBy("plugin", "seq", "last_seq", "item_id")
         .agg(F.max("best").alias("best"))
         .select("plugin", "seq", "last_seq", "item_id", F.col("best.h").alias("snapshot_hash"))
@@ -120,8 +122,8 @@ def snapshot_changes(items: DataFrame, jobs: DataFrame, depth: int | None = None
     """
     if depth is None:
         depth = tree_depth(items.count())  # of Parquet, read from the footers
-    order = snapshot_order(jobs)
-    members = snapshot_members(items, jobs)
+    order = cut(snapshot_order(jobs))  # one row for each job, needed in every step
+    members = snapshot_members(items, order)
     ranges = changed_ranges(members, depth)
     rows = (
         members.withColumn("node", _leaf(depth))

@@ -282,6 +282,12 @@ SQL = {
     "change_status": BASELINES + "SELECT job_id, derived_status, count(*) AS items FROM r GROUP BY ALL",
     "record_increment": BASELINES + "SELECT job_id, item_id, derived_status, baseline_job, baseline_hash, previous_content_hash FROM r",
     "changed_components": f"SELECT component, count(*) AS items, count(DISTINCT job_id) AS jobs FROM (SELECT job_id, unnest(changed_components) AS component FROM {ITEMS}) GROUP BY ALL",
+    "component_diff": f"""WITH l AS (SELECT item_id, job_id, lower(content_hash) AS c, lower(snapshot_hash) AS s, sha256(lower(trim(title))) AS t, received_at, report_row_id FROM {ITEMS}),
+        w AS (SELECT *, lag(c) OVER o AS pc, lag(s) OVER o AS ps, lag(t) OVER o AS pt, row_number() OVER o AS n FROM l WINDOW o AS (PARTITION BY item_id ORDER BY received_at NULLS FIRST, report_row_id))
+        SELECT item_id, job_id, array_to_string(list_filter([CASE WHEN c IS DISTINCT FROM pc THEN 'main' END, CASE WHEN s IS DISTINCT FROM ps THEN 'snapshot' END, CASE WHEN t IS DISTINCT FROM pt THEN 'title' END], lambda x: x IS NOT NULL), ',') AS changed FROM w WHERE n > 1""",
+    "ordered_warnings": f"""WITH e AS (SELECT job_id, item_id, unnest(warnings) AS value, generate_subscripts(warnings, 1) AS i FROM {ITEMS}),
+        f AS (SELECT job_id, value, min((item_id, i)) AS f FROM e GROUP BY ALL)
+        SELECT job_id, value, CAST(row_number() OVER (PARTITION BY job_id ORDER BY f, value) AS INTEGER) AS place FROM f""",
     "upsert_items": f"""WITH p AS (SELECT i.*, dense_rank() OVER (PARTITION BY plugin ORDER BY created_at DESC, job_id) AS place FROM {ITEMS} i JOIN (SELECT job_id, plugin, created_at, status AS js FROM {JOBS}) USING (job_id) WHERE js = 'completed'),
         o AS (SELECT * FROM p WHERE place = 2), n AS (SELECT * FROM p WHERE place = 1)
         SELECT coalesce(n.item_id, o.item_id) AS item_id, coalesce(n.title, o.title) AS title,
