@@ -214,7 +214,7 @@ def mixed(documents: DataFrame, plans: DataFrame, targets: DataFrame, **how) ->
     Empty plans, targets or documents give no rows; further columns are ignored.
     """
     sizes = document_sizes(documents, **how)
-    return realise(sizes, mix_budgets(source_totals(sizes), plans, targets))
+    return realise(sizes, cut(mix_budgets(source_totals(sizes), plans, targets)))
 
 
 def reached_shares(chosen: DataFrame, budgets: DataFrame) -> DataFrame:
@@ -241,12 +241,12 @@ def reached_shares(chosen: DataFrame, budgets: DataFrame) -> DataFrame:
 def share_report(documents: DataFrame, plans: DataFrame, targets: DataFrame, **how) -> DataFrame:
     """``reached_shares`` of every mix of ``plans``."""
     sizes = document_sizes(documents, **how)
-    budgets = mix_budgets(source_totals(sizes), plans, targets)
+    budgets = cut(mix_budgets(source_totals(sizes), plans, targets))
     return reached_shares(realise(sizes, budgets), budgets)
 
 
 def temperature_report(documents: DataFrame, size_ratio: float, max_repeats: int, entropy: float | None = None, **how) -> DataFrame:
     """``reached_shares`` of a mix without targets, flattened by temperature."""
     sizes = document_sizes(documents, **how)
-    budgets = temperature_budgets(source_totals(sizes), size_ratio, max_repeats, entropy)
+    budgets = cut(temperature_budgets(source_totals(sizes), size_ratio, max_repeats, entropy))
     return reached_shares(realise(sizes, budgets), budgets)
