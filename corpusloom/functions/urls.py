@@ -99,3 +99,23 @@ def fingerprint(url: Column, kind: Column, text: Column) -> Column:
     """The same for pages that differ only in letter case and white space."""
     words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+", " "))
     return F.sha2(F.concat_ws("\n", url, kind, words), 256)
+
+
+#: Words that make a link no content, or likely content.
+NO_CONTENT = (
+    "calculator", "copyright", "financial", "history", "hobbies", "imprint", "logout", "occupation", "privacy",
+    "questionnaire", "rating-sheet", "travel", "user-settings",
+)
+CONTENT = ("disease", "diseases", "medical", "medicine", "conditions")
+
+
+def candidate_score(url: Column, label: Column) -> Column:
+    """How promising a link is, 0 to 95: language pages and plain pages before words of content."""
+    path = F.lower(part(url, 3))
+    said = F.concat(path, F.lit(" "), F.lower(F.coalesce(label, F.lit(""))))
+    has = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.instr(said, w) > 0)
+    page = path.rlike(r"/(en_)?[^/]+\.html?$")
+    return (
+        F.when(url.isNull() | has(NO_CONTENT) | url.rlike(r"[?#]."), 0)
+        .when(page & path.startswith("/en_"), 95).when(page, 88).when(path.startswith("/en_"), 92).when(has(CONTENT), 72).otherwise(0)
+    )

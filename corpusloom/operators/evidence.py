@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import fold, ground_text
+from corpusloom.functions.text import fold, ground_text, search_name
+from corpusloom.functions.urls import absolute_url, canonical_url, fingerprint, is_allowed, is_detail
 
 
 def quoted_values(drafts: DataFrame, sources: DataFrame, key: str, value: str, quote: str, text: str) -> DataFrame:
@@ -98,3 +99,54 @@ def decisions_in_order(offered: DataFrame, decisions: DataFrame, keys: list[str]
     valid = F.coalesce(F.col("chosen").isNull() | F.array_contains("__offered", F.col("chosen")), F.lit(False))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("decided_at", "chosen"))
     return decisions.join(have, keys, "left").withColumn("is_valid", valid).withColumn("place", place).drop("__offered")
+
+
+def valid_checkpoints(items: DataFrame, files: DataFrame, keys: list[str], required: list[str]) -> DataFrame:
+    """(keys, is_valid): whether every required artifact of an item is there with the digest it was listed with.
+
+    ``items`` (keys, name, sha256) as listed, ``files`` (keys, name, sha256) as found.
+    """
+    found = files.select(*keys, "name", F.col("sha256").alias("__d"))
+    both = items.where(F.col("name").isin(*required)).join(found, [*keys, "name"], "left")
+    good = F.count_if(F.coalesce(F.col("__d") == F.col("sha256"), F.lit(False)))
+    return both.groupBy(*keys).agg((good == len(required)).alias("is_valid"))
+
+
+def listed_items(pages: DataFrame, key: str, url: str, links: str, hosts: list[str]) -> DataFrame:
+    """(key, target, label): pages of single items that a page links to, by canonical address.
+
+    Links to other hosts and to the page itself are left out; of several labels the last counts.
+    """
+    each = pages.select(key, F.col(url).alias("__page"), F.posexplode(links).alias("__i", "__l"))
+    target = canonical_url(absolute_url(F.col("__l.url"), F.col("__page")))
+    rows = each.select(key, "__i", target.alias("target"), canonical_url(F.col("__page")).alias("__self"), F.col("__l.label").alias("label"))
+    rows = rows.where(is_allowed(F.col("target"), hosts) & is_detail(F.col("target")) & (F.col("target") != F.col("__self")))
+    return rows.groupBy(key, "target").agg(F.max_by("label", "__i").alias("label"))
+
+
+def observations(pages: DataFrame, key: str, most_links: int = 80, most_headings: int = 40, most_chars: int = 30_000) -> DataFrame:
+    """What a reader with a small window is shown of a page: a bounded view, with the page's fingerprint.
+
+    The bounds are those of the view, and the whole page stays in its table.
+    """
+    text = F.substring("plain_text", 1, most_chars)
+    return pages.select(
+        key, "title", F.size(F.slice("links", 1, most_links)).alias("links"), F.size(F.slice("headings", 1, most_headings)).alias("headings"),
+        F.length(text).alias("n_chars"), fingerprint(F.coalesce("url", F.lit("")), F.coalesce("title", F.lit("")), text).alias("fingerprint"),
+    )
+
+
+def resolutions(matches: DataFrame, asked: DataFrame, query: str, done: DataFrame, key: str) -> DataFrame:
+    """(query, outcome): what became of each name: matched, existing (its item is done already), ambiguous or not_found."""
+    names = asked.select(query).distinct()
+    both = names.join(matches, query, "left").join(done.select(key).distinct().withColumn("__done", F.lit(True)), key, "left")
+    outcome = F.when(F.col("tier").isNull(), "not_found").when(F.col(key).isNull(), "ambiguous").when(F.col("__done"), "existing").otherwise("matched")
+    return both.select(query, outcome.alias("outcome"))
+
+
+def attached_details(rows: DataFrame, details: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, label, url, place): details of a page joined to the rows that name them, each address once for a row."""
+    d = details.select(key, search_name(F.col(label)).alias("__n"), "url", F.col("position").alias("__p"))
+    both = rows.select(key, label, search_name(F.col(label)).alias("__n")).distinct().join(d, [key, "__n"])
+    first = both.groupBy(key, label, "url").agg(F.min("__p").alias("__p"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(key, label).orderBy("__p", "url"))).drop("__p")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays, urls
 from corpusloom.functions import text as t
-from corpusloom.operators import evidence, html_pages, markdown_fields
-from corpusloom.plans.text_queries import FIELD_ROWS, _ground
+from corpusloom.operators import evidence, html_pages, markdown_fields, matching
+from corpusloom.plans.text_queries import FIELD_ROWS, SQL as TEXT_SQL, _ground
 from corpusloom.runtime import table
 
 
@@ -82,12 +82,63 @@ def label_clean(spark, d):
     return rows.groupBy(t.joined_highlight(F.col("label")).alias("label")).agg(F.count("*").alias("n"))
 
 
+def candidate_scores(spark, d):
+    rows = table(spark, d, "search_candidates").where("url is not null")
+    return rows.select("candidate_id", urls.candidate_score(F.col("url"), F.col("label")).alias("score"))
+
+
+def best_candidate(spark, d):
+    rows = table(spark, d, "search_candidates").where("url is not null and search_query is not null")
+    score = urls.candidate_score(F.col("url"), F.col("label"))
+    order = F.struct((-score).alias("s"), "url", "candidate_id")
+    return rows.groupBy(F.lower(F.trim("search_query")).alias("q")).agg(F.min_by("candidate_id", order).alias("candidate_id"), F.max(score).alias("score"))
+
+
+def _read(spark, d):
+    tabs = table(spark, d, "raw_tabs").select("page_id", F.col("source_url").alias("url"), "html")
+    return html_pages.pages_read(tabs, "page_id", "html", "url")
+
+
+def listing_items(spark, d):
+    pages = _read(spark, d)
+    return evidence.listed_items(pages, "page_id", "url", "links", ["www.manuals.example", "manuals.example"])
+
+
+def page_observations(spark, d):
+    return evidence.observations(_read(spark, d), "page_id")
+
+
+def resolution_audit(spark, d):
+    asked = table(spark, d, "search_candidates").where("search_query is not null")
+    labels = table(spark, d, "search_candidates").where("label is not null").select("candidate_id", "label")
+    found = matching.tiered_matches(asked, labels, "search_query", "candidate_id", "label")
+    done = table(spark, d, "search_candidates").where("rank_no = 1").select("candidate_id")
+    return evidence.resolutions(found, asked, "search_query", done, "candidate_id").groupBy("outcome").agg(F.count("*").alias("names"))
+
+
+def hash_fidelity(spark, d):
+    rows = table(spark, d, "clean_content").where("markdown is not null")
+    same = F.lower("content_hash") == t.content_hash(t.nfc(F.col("markdown")))
+    return rows.groupBy("tab_key").agg(F.count("*").alias("contents"), F.count_if(same).alias("same"), F.count_if(F.col("content_hash").isNull()).alias("unhashed"))
+
+
 QUERIES = [
+    candidate_scores, best_candidate, listing_items, page_observations, resolution_audit, hash_fidelity,
     atoms_explode, evidence_ground, tab_states, detail_join, detail_targets, page_kinds, snapshot_digests, content_lengths,
     warning_fields, over_budget, nested_aliases, label_clean,
 ]
 
+PATH = "lower(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1))"
+SCORES = f"""SELECT candidate_id, url, search_query, CAST(CASE WHEN len(list_filter([{", ".join(repr(w) for w in urls.NO_CONTENT)}], lambda w: contains(said, w))) > 0 OR regexp_matches(url, '[?#].') THEN 0
+  WHEN regexp_matches(path, '/(en_)?[^/]+\\.html?$') AND starts_with(path, '/en_') THEN 95 WHEN regexp_matches(path, '/(en_)?[^/]+\\.html?$') THEN 88 WHEN starts_with(path, '/en_') THEN 92
+  WHEN len(list_filter([{", ".join(repr(w) for w in urls.CONTENT)}], lambda w: contains(said, w))) > 0 THEN 72 ELSE 0 END AS INTEGER) AS score
+  FROM (SELECT *, {PATH} AS path, {PATH} || ' ' || lower(coalesce(label, '')) AS said FROM search_candidates WHERE url IS NOT NULL)"""
+
 SQL = {
+    "candidate_scores": f"SELECT candidate_id, score FROM ({SCORES})",
+    "best_candidate": f"SELECT lower(trim(search_query)) AS q, arg_min(candidate_id, (-score, url, candidate_id)) AS candidate_id, max(score) AS score FROM ({SCORES}) WHERE search_query IS NOT NULL GROUP BY 1",
+    "hash_fidelity": f"""SELECT tab_key, count(*) AS contents, count(*) FILTER (lower(content_hash) = digest) AS same, count(*) FILTER (content_hash IS NULL) AS unhashed
+        FROM clean_content JOIN ({TEXT_SQL['md_normal_hash']}) USING (content_id) GROUP BY tab_key""",
     "atoms_explode": f"""SELECT *, sha256({_ground('value')}) AS digest FROM (
         SELECT document_no, 'disease_name' AS field, disease_name AS value FROM disease_documents UNION ALL SELECT document_no, 'summary', summary FROM disease_documents
         UNION ALL SELECT document_no, 'aliases', unnest(aliases) FROM disease_documents) WHERE trim(value) <> ''""",

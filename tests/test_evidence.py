@@ -63,3 +63,40 @@ def test_arrays(spark):
 def test_map_digest_ignores_order(spark):
     r = spark.sql("select map('a','1','b',cast(null as string)) x, map('b',cast(null as string),'a','1') y, map('a','1','b','') z").select(*[arrays.map_digest(F.col(k)) for k in "xyz"]).first()
     assert r[0] == r[1] != r[2]
+
+
+def test_candidate_scores(spark):
+    from corpusloom.functions.urls import candidate_score
+
+    rows = [("https://h/en_x.htm", None, 95), ("https://h/x.html", "a", 88), ("https://h/en_x", "", 92), ("https://h/a/b", "Diseases", 72), ("https://h/a", "b", 0),
+            ("https://h/x.html", "Privacy", 0), ("https://h/x.html?q=1", "a", 0), (None, "disease", 0)]
+    got = spark.createDataFrame(rows, "u string, l string, w int").select(candidate_score(F.col("u"), F.col("l")), "w").collect()
+    assert all(a == b for a, b in got)
+
+
+def test_checkpoints(spark):
+    listed = spark.createDataFrame([("i", "raw", "d1"), ("i", "md", "d2"), ("k", "raw", "d1"), ("k", "md", None)], "item string, name string, sha256 string")
+    found = spark.createDataFrame([("i", "raw", "d1"), ("i", "md", "d2"), ("k", "raw", "other")], "item string, name string, sha256 string")
+    got = {r["item"]: r["is_valid"] for r in evidence.valid_checkpoints(listed, found, ["item"], ["raw", "md"]).collect()}
+    assert got == {"i": True, "k": False}
+
+
+def test_listed_items(spark):
+    links = [("/en_med_a.htm?utm_x=1", "first"), ("https://h/en_med_a.htm#t", "last"), ("/en_med_self.htm", "self"), ("https://other/en_med_b.htm", "b"), ("/about", "c")]
+    pages = spark.createDataFrame([(1, "https://h/en_med_self.htm", links), (2, None, [])], "k int, url string, links array<struct<url:string,label:string>>")
+    assert [tuple(r) for r in evidence.listed_items(pages, "k", "url", "links", ["h"]).collect()] == [(1, "https://h/en_med_a.htm", "last")]
+
+
+def test_resolutions(spark):
+    matches = spark.createDataFrame([("a", "exact", 1), ("b", "exact", 2), ("c", "alias", None)], "q string, tier string, id int")
+    asked = spark.createDataFrame([(x,) for x in "abcda"], "q string")
+    done = spark.createDataFrame([(2,)], "id int")
+    got = {tuple(r) for r in evidence.resolutions(matches, asked, "q", done, "id").collect()}
+    assert got == {("a", "matched"), ("b", "existing"), ("c", "ambiguous"), ("d", "not_found")}
+
+
+def test_attached_details(spark):
+    rows = spark.createDataFrame([(1, "Flu!"), (1, "Cold")], "k int, label string")
+    details = spark.createDataFrame([(1, "flu", "u2", 2), (1, "FLU", "u1", 1), (1, "flu", "u1", 3), (2, "flu", "u9", 0)], "k int, label string, url string, position int")
+    got = sorted(tuple(r) for r in evidence.attached_details(rows, details, "k", "label").collect())
+    assert got == [(1, "Flu!", "u1", 1), (1, "Flu!", "u2", 2)]
