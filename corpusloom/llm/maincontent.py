@@ -31,14 +31,15 @@ CLOSES = {
 )
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|head)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
+    r"|<(script|style|noscript|head)(?=[\s/>])[^'\">]*(?:\"[^\"]*\"[^'\">]*|'[^']*'[^'\">]*)*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^'\">]*(?:\"[^\"]*\"[^'\">]*|'[^']*'[^'\">]*)*)>"
     r"|<[!?][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
 NAME = re.compile(r"(?:^|\s)(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
-ENDS = re.compile(r"[.!?…。！？][\"'”’)\]]*$")
+ENDS = ".!?…。！？"
+CLOSERS = "\"'”’)]"
 CLAUSE = re.compile(r"[.;:!?…。；！？]+\s*|,\s+")
 DIGITS = re.compile(r"\d+")
 #: Words of site furniture in the languages of the sites.
@@ -171,6 +172,10 @@ def path_ratios(blocks: list[Block]) -> list[float]:
     return [0.25 * a + 0.5 * b + 0.25 * c for a, b, c in zip(padded, padded[1:], padded[2:])]
 
 
+def ends_sentence(text: str) -> bool:
+    return text.rstrip(CLOSERS)[-1:] in ENDS if text else False
+
+
 def is_pointer(b: Block) -> bool:
     """A line that points to another article: most of it is a link, or it begins with one and a colon."""
     if not b.linked:
@@ -212,7 +217,7 @@ def body_of(blocks: list[Block], furniture: frozenset[int] = frozenset(), furnis
             v = -0.1
         elif furnished[i]:
             v = -0.05
-        elif ENDS.search(b.text):
+        elif ends_sentence(b.text):
             v = (0.4 + r) * min(len(b.text), 400) / 100
         else:
             v = -0.1
@@ -230,7 +235,7 @@ def body_of(blocks: list[Block], furniture: frozenset[int] = frozenset(), furnis
     inside = {i for i, b in enumerate(blocks) if best == 0 or best in b.within}
     kept = [blocks[i] for i in inside if not furnished[i] and not pointers[i]]
     under = [b for b in kept if b.tag not in HEADINGS]
-    prose = sum(len(b.text) for b in under if ENDS.search(b.text))
+    prose = sum(len(b.text) for b in under if ends_sentence(b.text))
     if gain[best] <= 0 or not under or (len(under) == len(kept) and prose < 200):
         return set()
     return inside
