@@ -42,19 +42,10 @@ ENDS = ".!?…。！？"
 CLOSERS = "\"'”’)]"
 CLAUSE = re.compile(r"[.;:!?…。；！？]+\s*|,\s+")
 DIGITS = re.compile(r"\d+")
-#: Words of site furniture in the languages of the sites.
-FURNITURE = re.compile(
-    r"\b(?:cookies?|trackers?|newsletter|advertisements?|adverts?|anzeige|sponsored|subscribe|sign (?:in|up)\b.{0,40}\b(?:page|newsletter|account)"
-    r"|log ?in again|session has ended|all rights (?:are )?reserved|no liability|guarantee of completeness|no substitute for a visit"
-    r"|not replace the advice|general education only|without professional supervision|share this page|tell a friend|print this (?:article|page)"
-    r"|save as pdf|was this (?:page|article) helpful|war dieser artikel hilfreich|reader survey|premium library|download the app|min read"
-    r"|health letter in your inbox|cover in two minutes|alle rechte vorbehalten|haftungsausschluss|jetzt bestellen)\b"
-)
-ANSWERS = frozenset(("yes", "no", "ja", "nein"))
-
-#: A clause is furniture if it stands outside the body on most pages that have it, and on this
-#: share of all different pages; a whole block if it recurs on BLOCK_SHARE of them.
-CLAUSE_SHARE, BLOCK_SHARE, LEAST_PAGES = 0.003, 0.03, 6
+#: A clause is furniture if it stands on this share of all different pages, and outside the body on
+#: at least OUTSIDE of those (text of articles hardly ever does); a whole block if it recurs on
+#: BLOCK_SHARE of all. Nothing on fewer than LEAST_PAGES pages is.
+CLAUSE_SHARE, OUTSIDE, BLOCK_SHARE, LEAST_PAGES = 0.003, 0.2, 0.03, 3
 MOST_ENTRIES = 2_000_000
 WHOLE = 2
 
@@ -231,7 +222,7 @@ def body_of(blocks: list[Block], furniture: frozenset[int] = frozenset(), furnis
     best = max(able, key=lambda e: (round(gain[e], 6), e))
     if titles:  # notices around the body may add to it: within, all that is headed is enough
         common = set(titles[0].within).intersection(*(b.within for b in titles))
-        best = max([best, *(e for e in common if holds[e] > 1 and gain[e] >= 0.6 * gain[best])])
+        best = max([best, *(e for e in common if holds[e] > 1 and gain[e] >= 0.5 * gain[best])])
     inside = {i for i, b in enumerate(blocks) if best == 0 or best in b.within}
     kept = [blocks[i] for i in inside if not furnished[i] and not pointers[i]]
     under = [b for b in kept if b.tag not in HEADINGS]
@@ -244,11 +235,9 @@ def body_of(blocks: list[Block], furniture: frozenset[int] = frozenset(), furnis
 def is_furniture(b: Block, furniture: frozenset[int]) -> bool:
     if b.tag in HEADINGS or b.tag in CELLS:
         return False
-    line = b.masked()
-    if line in ANSWERS or FURNITURE.search(line):
-        return True
     if not furniture or (b.tag in ("li", "dt", "dd") and b.linked > 0.5 * len(b.text)):
         return False
+    line = b.masked()
     if entry_id("=" + line) in furniture and b.tag not in ("li", "dt", "dd"):
         return True
     parts = clauses(line)
@@ -324,7 +313,7 @@ def furniture_entries(pages: DataFrame) -> list[int]:
         .where(F.col("pages") >= max(LEAST_PAGES, total * CLAUSE_SHARE))
         .where(
             F.when(F.col("place") >= WHOLE, F.col("pages") >= total * BLOCK_SHARE).otherwise(
-                F.col("inside") <= 0.5 * F.col("pages")
+                F.col("pages") - F.col("inside") >= OUTSIDE * F.col("pages")
             )
         )
     )
