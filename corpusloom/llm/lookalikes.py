@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
