@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 
-from corpusloom.runtime import map_batches
+from corpusloom.runtime import cut, map_batches
 
 #: Tags that are part of the running text, and elements that have no end tag.
 RUNNING = frozenset("a abbr b br code em i small span strong sub sup u".split())
@@ -43,8 +43,8 @@ CLOSERS = "\"'”’)]"
 CLAUSE = re.compile(r"[.;:!?…。；！？]+\s*|,\s+")
 DIGITS = re.compile(r"\d+")
 #: A clause is furniture if it stands on this share of all different pages, and outside the body on
-#: at least OUTSIDE of those (text of articles hardly ever does); a whole block if it recurs on
-#: BLOCK_SHARE of all. Nothing on fewer than LEAST_PAGES pages is.
+#: at least OUTSIDE of those (text of articles hardly ever does); a whole block if it recurs in
+#: different company on BLOCK_SHARE of all. Nothing on fewer than LEAST_PAGES pages is.
 CLAUSE_SHARE, OUTSIDE, BLOCK_SHARE, LEAST_PAGES = 0.003, 0.2, 0.03, 3
 MOST_ENTRIES = 2_000_000
 WHOLE = 2
@@ -269,58 +269,88 @@ def page_table(tabs: DataFrame, details: DataFrame) -> DataFrame:
 def furniture_entries(pages: DataFrame) -> list[int]:
     """Ids of clauses and whole blocks ('=' before them) that are furniture of the corpus.
 
-    Pages with the same html count once, so that copies make nothing furniture. What is
+    Pages with the same body count once, so that copies make nothing furniture, and a whole
+    block counts by what it stands with, so that near copies do not either: of the NEAR
+    longest other blocks of its body, first to last, the different ones are counted, and the
+    median of these counts is taken. Near copies share most of their blocks, while a review
+    line, which always stands inside the body, stands with others on every page. What is
     returned stands on at least CLAUSE_SHARE of all different pages, so there are at most
     1 / CLAUSE_SHARE times as many of them as an average page has clauses, however many
     pages there are; more than MOST_ENTRIES are an error.
     """
-    shape = StructType().add("digest", LongType()).add("entry", LongType()).add("place", IntegerType())
-    source = pages.where("html is not null and html <> ''").select(F.xxhash64("html").alias("digest"), "html")
+    source = pages.where("html is not null and html <> ''").select("html")
+    frequent = frequent_entries(map_batches(source, page_entries, ENTRY_SHAPE))
+    found = [r["entry"] for r in frequent.limit(MOST_ENTRIES + 1).collect()]
+    if len(found) > MOST_ENTRIES:
+        raise ValueError("the pages have too many clauses in common to be told apart")
+    return found
+
+
+NEAR = 5
+NEARS = [f"near{k}" for k in range(NEAR)]
+EVERY = entry_id("=")  # on every page, and no block's
+ENTRY_SHAPE = StructType().add("body", LongType()).add("entry", LongType()).add("place", IntegerType())
+for _near in NEARS:
+    ENTRY_SHAPE.add(_near, LongType())
+
+
+def page_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entries of pages, each with its page's body, its place and, if a whole block, what is near."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 200):
+            body, entry, place, near = [], [], [], [[] for _ in NEARS]
+            for page in whole.column(0).slice(at, 200).to_pylist():
+                blocks = text_blocks(page)
+                inside = body_of(blocks)
+                own = [blocks[i].masked() for i in sorted(inside)] or [b.masked() for b in blocks]
+                text = entry_id("\n".join(own))
+                longest = [entry_id("=" + x) for x in sorted(dict.fromkeys(own), key=len, reverse=True)[: NEAR + 1]]
+                found: dict[int, int] = {EVERY: WHOLE}
+                for i, b in enumerate(blocks):
+                    if b.tag in HEADINGS or b.tag in CELLS or is_pointer(b):
+                        continue  # never taken for furniture, or known without
+                    for k, c in enumerate(("=" + b.masked(), *clauses(b.masked()))):
+                        e = entry_id(c)
+                        found[e] = found.get(e, 0) | (i in inside) | (0 if k else WHOLE)
+                body += [text] * len(found)
+                entry += found
+                place += found.values()
+                for e, p in found.items():
+                    others = [x for x in longest if x != e][:NEAR] or [e]
+                    for k, column in enumerate(near):
+                        column.append(others[k % len(others)] if p >= WHOLE else None)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(body, pa.int64()), pa.array(entry, pa.int64()), pa.array(place, pa.int32()), *(pa.array(x, pa.int64()) for x in near)],
+                names=ENTRY_SHAPE.names,
+            )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                digest, entry, place = [], [], []
-                for d, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    blocks = text_blocks(page)
-                    inside = body_of(blocks)
-                    found: dict[int, int] = {}
-                    for i, b in enumerate(blocks):
-                        if b.tag in HEADINGS or b.tag in CELLS or is_pointer(b):
-                            continue  # never taken for furniture, or known without
-                        for k, c in enumerate(("=" + b.masked(), *clauses(b.masked()))):
-                            e = entry_id(c)
-                            found[e] = found.get(e, 0) | (i in inside) | (0 if k else WHOLE)
-                    digest += [d] * len(found)
-                    entry += found
-                    place += found.values()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(digest, pa.int64()), pa.array(entry, pa.int64()), pa.array(place, pa.int32())],
-                    names=["digest", "entry", "place"],
-                )
 
-    counts = (
-        map_batches(source, run, shape)
-        .groupBy("entry", "digest")
-        .agg(F.bit_or("place").alias("place"))
-        .groupBy("entry")
-        .agg(F.count("*").alias("pages"), F.sum(F.col("place").bitwiseAND(1)).alias("inside"), F.max("place").alias("place"))
+def frequent_entries(found: DataFrame) -> DataFrame:
+    """(entry) of ``page_entries`` that are furniture."""
+    unique = found.groupBy("entry", "body").agg(F.bit_or("place").alias("place"), *(F.min(x).alias(x) for x in NEARS))
+    counts = unique.groupBy("entry").agg(
+        F.count("*").alias("pages"), F.sum(F.col("place").bitwiseAND(1)).alias("inside"), F.max("place").alias("place")
     )
-    total = source.select("digest").distinct().count()
-    frequent = (
-        counts
-        .where(F.col("pages") >= max(LEAST_PAGES, total * CLAUSE_SHARE))
+    ranked = F.array(*(F.struct(F.lit(k).alias("rank"), F.col(x).alias("near")) for k, x in enumerate(NEARS)))
+    nears = unique.where(F.col("place") >= WHOLE).select("entry", F.inline(ranked)).distinct().groupBy("entry", "rank").agg(F.count("*").alias("n"))
+    different = nears.groupBy("entry").agg(F.sort_array(F.collect_list("n"))[NEAR // 2].alias("different"))
+    recurring = cut(counts.where((F.col("pages") >= LEAST_PAGES) | (F.col("entry") == EVERY)).join(different, "entry", "left"))
+    total = recurring.where(F.col("entry") == EVERY).select(F.col("pages").alias("all_pages"), F.col("different").alias("all_different"))
+    return (
+        recurring
+        .where(F.col("entry") != EVERY)
+        .crossJoin(total)
         .where(
-            F.when(F.col("place") >= WHOLE, F.col("pages") >= total * BLOCK_SHARE).otherwise(
-                F.col("pages") - F.col("inside") >= OUTSIDE * F.col("pages")
+            F.when(
+                F.col("place") >= WHOLE,
+                F.col("different") >= F.greatest(F.lit(LEAST_PAGES), F.col("all_different") * BLOCK_SHARE),
+            ).otherwise(
+                (F.col("pages") >= F.col("all_pages") * CLAUSE_SHARE)
+                & (F.col("pages") - F.col("inside") >= OUTSIDE * F.col("pages"))
             )
         )
+        .select("entry")
     )
-    found = [r["entry"] for r in frequent.select("entry").limit(MOST_ENTRIES + 1).collect()]
-    if len(found) > MOST_ENTRIES:
-        raise ValueError("the pages have too many clauses in common to be told apart")
-    return found
 
 
 def main_content(pages: DataFrame) -> DataFrame:

@@ -65,3 +65,27 @@ def test_furniture_is_learnt(spark):
 def test_long_page():
     page = FRAME.format(body="<div><h1>T</h1>" + f"<p>{PROSE}</p>" * 20_000 + "</div>")
     assert len(main_blocks(page)) == 20_001
+
+
+def words(n, k):
+    return " ".join("".join(chr(97 + int(d)) for d in f"{n:03}{k:03}{i:03}") for i in range(9))
+
+
+def varied(n, note):
+    text = "".join(f"<p>{words(n, k)}, {PROSE}</p>" for k in range(4))
+    return FRAME.format(body=f"<div><h1>Case {words(n, 9)[:9]}</h1>{note}{text}</div>")
+
+
+def test_near_copies_are_no_furniture(spark):
+    """A third of the pages is one article whose copies differ in a menu, a token and an advert."""
+    note = "<p>Reviewed on 3 March 2026 &middot; 2 min read</p>"
+    rows = [(n, varied(n, note)) for n in range(60)]
+    own = [f"{words(900, k)}, {PROSE}".strip() for k in range(4)]
+    for n in range(30):
+        body = "".join(f"<p>{x}</p>" for x in own) + f"<p>Token {words(n, 50)} of this print.</p>"
+        page = FRAME.format(body=f"<div><h1>Copied</h1>{note}{body}</div>").replace("Home</a>", f"Home {words(n, 60)}</a>")
+        rows.append((1000 + n, page))
+    got = main_content(spark.createDataFrame(rows, "page_id bigint, html string")).collect()
+    assert not any("min read" in r["text"] for r in got)
+    for n in range(30):
+        assert {r["text"] for r in got if r["page_id"] == 1000 + n} >= {"Copied", *own}
