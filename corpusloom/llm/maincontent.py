@@ -13,8 +13,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
+from corpusloom.functions.urls import host
 from corpusloom.runtime import cut, map_batches
 
 #: Tags that are part of the running text, and elements that have no end tag.
@@ -44,10 +45,13 @@ CLAUSE = re.compile(r"[.;:!?…。；！？]+\s*|,\s+")
 DIGITS = re.compile(r"\d+")
 #: A clause is furniture if it stands on this share of all different pages, and outside the body on
 #: at least OUTSIDE of those (text of articles hardly ever does); a whole block if it recurs in
-#: different company on BLOCK_SHARE of all. Nothing on fewer than LEAST_PAGES pages is.
+#: different company on BLOCK_SHARE of all, and of a site's pages on their square root more.
+#: Shares are of the corpus and of each site. Nothing on fewer than LEAST_PAGES pages is furniture.
 CLAUSE_SHARE, OUTSIDE, BLOCK_SHARE, LEAST_PAGES = 0.003, 0.2, 0.03, 3
 MOST_ENTRIES = 2_000_000
 WHOLE = 2
+#: The number of blocks that a whole block is seen with.
+NEAR = 5
 
 
 @dataclass
@@ -262,49 +266,28 @@ def main_blocks(page: str, furniture: frozenset[int] = frozenset()) -> list[tupl
 
 
 def page_table(tabs: DataFrame, details: DataFrame) -> DataFrame:
-    """(page_id, html) of both tables."""
-    return tabs.select("page_id", "html").union(details.select("page_id", "html"))
-
+    """(page_id, html, site) of both tables; the site is the host."""
+    of = lambda frame, url: frame.select("page_id", "html", host(F.col(url)).alias("site"))
+    return of(tabs, "source_url").union(of(details, "url"))
 
-def furniture_entries(pages: DataFrame) -> list[int]:
-    """Ids of clauses and whole blocks ('=' before them) that are furniture of the corpus.
 
-    Pages with the same body count once, so that copies make nothing furniture, and a whole
-    block counts by what it stands with, so that near copies do not either: of the NEAR
-    longest other blocks of its body, first to last, the different ones are counted, and the
-    median of these counts is taken. Near copies share most of their blocks, while a review
-    line, which always stands inside the body, stands with others on every page. What is
-    returned stands on at least CLAUSE_SHARE of all different pages, so there are at most
-    1 / CLAUSE_SHARE times as many of them as an average page has clauses, however many
-    pages there are; more than MOST_ENTRIES are an error.
-    """
-    source = pages.where("html is not null and html <> ''").select("html")
-    frequent = frequent_entries(map_batches(source, page_entries, ENTRY_SHAPE))
-    found = [r["entry"] for r in frequent.limit(MOST_ENTRIES + 1).collect()]
-    if len(found) > MOST_ENTRIES:
-        raise ValueError("the pages have too many clauses in common to be told apart")
-    return found
-
-
-NEAR = 5
-NEARS = [f"near{k}" for k in range(NEAR)]
 EVERY = entry_id("=")  # on every page, and no block's
-ENTRY_SHAPE = StructType().add("body", LongType()).add("entry", LongType()).add("place", IntegerType())
-for _near in NEARS:
-    ENTRY_SHAPE.add(_near, LongType())
+ENTRY_SHAPE = "page bigint, site bigint, body bigint, entry bigint, place int, near array<bigint>"
 
 
 def page_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The entries of pages, each with its page's body, its place and, if a whole block, what is near."""
+    """The entries of pages (page, site, html), with page, site, digest of the body's text and place.
+
+    The entry EVERY has the longest blocks of the body besides.
+    """
     for whole in batches:
         for at in range(0, whole.num_rows, 200):
-            body, entry, place, near = [], [], [], [[] for _ in NEARS]
-            for page in whole.column(0).slice(at, 200).to_pylist():
+            batch = whole.slice(at, 200)
+            row, body, entry, place, near = [], [], [], [], []
+            for r, page in enumerate(batch.column(2).to_pylist()):
                 blocks = text_blocks(page)
                 inside = body_of(blocks)
                 own = [blocks[i].masked() for i in sorted(inside)] or [b.masked() for b in blocks]
-                text = entry_id("\n".join(own))
-                longest = [entry_id("=" + x) for x in sorted(dict.fromkeys(own), key=len, reverse=True)[: NEAR + 1]]
                 found: dict[int, int] = {EVERY: WHOLE}
                 for i, b in enumerate(blocks):
                     if b.tag in HEADINGS or b.tag in CELLS or is_pointer(b):
@@ -312,55 +295,90 @@ def page_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for k, c in enumerate(("=" + b.masked(), *clauses(b.masked()))):
                         e = entry_id(c)
                         found[e] = found.get(e, 0) | (i in inside) | (0 if k else WHOLE)
-                body += [text] * len(found)
+                row += [r] * len(found)
+                body += [entry_id("\n".join(own))] * len(found)
                 entry += found
                 place += found.values()
-                for e, p in found.items():
-                    others = [x for x in longest if x != e][:NEAR] or [e]
-                    for k, column in enumerate(near):
-                        column.append(others[k % len(others)] if p >= WHOLE else None)
+                longest = sorted(dict.fromkeys(own), key=len, reverse=True)[: NEAR + 1]
+                near += [[entry_id("=" + x) for x in longest], *[None] * (len(found) - 1)]
+            rows = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(body, pa.int64()), pa.array(entry, pa.int64()), pa.array(place, pa.int32()), *(pa.array(x, pa.int64()) for x in near)],
-                names=ENTRY_SHAPE.names,
-            )
-
-
-def frequent_entries(found: DataFrame) -> DataFrame:
-    """(entry) of ``page_entries`` that are furniture."""
-    unique = found.groupBy("entry", "body").agg(F.bit_or("place").alias("place"), *(F.min(x).alias(x) for x in NEARS))
-    counts = unique.groupBy("entry").agg(
-        F.count("*").alias("pages"), F.sum(F.col("place").bitwiseAND(1)).alias("inside"), F.max("place").alias("place")
-    )
-    ranked = F.array(*(F.struct(F.lit(k).alias("rank"), F.col(x).alias("near")) for k, x in enumerate(NEARS)))
-    nears = unique.where(F.col("place") >= WHOLE).select("entry", F.inline(ranked)).distinct().groupBy("entry", "rank").agg(F.count("*").alias("n"))
-    different = nears.groupBy("entry").agg(F.sort_array(F.collect_list("n"))[NEAR // 2].alias("different"))
-    recurring = cut(counts.where((F.col("pages") >= LEAST_PAGES) | (F.col("entry") == EVERY)).join(different, "entry", "left"))
-    total = recurring.where(F.col("entry") == EVERY).select(F.col("pages").alias("all_pages"), F.col("different").alias("all_different"))
-    return (
-        recurring
-        .where(F.col("entry") != EVERY)
-        .crossJoin(total)
-        .where(
-            F.when(
-                F.col("place") >= WHOLE,
-                F.col("different") >= F.greatest(F.lit(LEAST_PAGES), F.col("all_different") * BLOCK_SHARE),
-            ).otherwise(
-                (F.col("pages") >= F.col("all_pages") * CLAUSE_SHARE)
-                & (F.col("pages") - F.col("inside") >= OUTSIDE * F.col("pages"))
-            )
-        )
-        .select("entry")
-    )
+                [
+                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(body, pa.int64()), pa.array(entry, pa.int64()),
+                    pa.array(place, pa.int32()), pa.array(near, pa.list_(pa.int64())),
+                ],
+                names=["page", "site", "body", "entry", "place", "near"],
+            )
+
+
+def frequent_entries(found: DataFrame, within: list[str]) -> DataFrame:
+    """(*within, entry) of ``page_entries`` that are furniture of the corpus or, within ['site'], of a site.
+
+    Entries are clauses and whole blocks ('=' before them). Pages with the same body count
+    once, so that copies make nothing furniture, and a whole block counts by what it stands
+    with, so that near copies do not either: of the NEAR longest other blocks of its body,
+    first to last, the different ones are counted, and the median of these counts is taken.
+    Near copies share most of their blocks, while a review line, which always stands inside
+    the body, stands with others on every page.
+    """
+    key = [*within, "entry"]
+    counts = (
+        found.groupBy(*key, "body").agg(F.bit_or("place").alias("place")).groupBy(*key)
+        .agg(F.count("*").alias("pages"), F.sum(F.col("place").bitwiseAND(1)).alias("inside"), F.max("place").alias("place"))
+    )
+    recurring = cut(counts.where((F.col("pages") >= LEAST_PAGES) | (F.col("entry") == EVERY)))
+    near = found.where(F.col("entry") == EVERY).groupBy("body").agg(F.min("near").alias("near"))
+    blocks = found.where(F.col("place") >= WHOLE).join(recurring.select(*key), key, "left_semi").select(*key, "body").distinct()
+    others = F.array_remove("near", F.col("entry"))
+    at = lambda k: F.try_element_at(others, F.lit(k) % F.greatest(F.size(others), F.lit(1)) + 1)
+    ranked = F.array(*(F.struct(F.lit(k).alias("rank"), at(k).alias("near")) for k in range(NEAR)))
+    nears = blocks.join(near, "body").select(*key, F.inline(ranked)).distinct().groupBy(*key, "rank").agg(F.count("*").alias("n"))
+    different = nears.groupBy(*key).agg(F.sort_array(F.collect_list("n"))[NEAR // 2].alias("different"))
+    known = cut(recurring.join(different, key, "left"))
+    total = known.where(F.col("entry") == EVERY).select(*within, F.col("pages").alias("all_pages"), F.col("different").alias("all_different"))
+    rest = known.where(F.col("entry") != EVERY)
+    outside = F.col("pages") - F.col("inside") >= OUTSIDE * F.col("pages")
+    # a few pages of a site may hold the same short paragraph by chance
+    chance = F.sqrt("all_different") if within else F.lit(0)
+    whole = (F.col("different") >= LEAST_PAGES) & (F.col("different") >= F.col("all_different") * BLOCK_SHARE + chance)
+    joined = rest.join(total, within) if within else rest.crossJoin(total)
+    return joined.where(F.when(F.col("place") >= WHOLE, whole).otherwise((F.col("pages") >= F.col("all_pages") * CLAUSE_SHARE) & outside)).select(*key)
+
+
+def furniture_entries(found: DataFrame) -> list[int]:
+    """Ids of the entries that are furniture of the corpus.
+
+    They stand on at least CLAUSE_SHARE of all different pages, so there are at most
+    1 / CLAUSE_SHARE times as many of them as an average page has clauses, however many
+    pages there are; more than MOST_ENTRIES are an error.
+    """
+    ids = [r["entry"] for r in frequent_entries(found, []).limit(MOST_ENTRIES + 1).collect()]
+    if len(ids) > MOST_ENTRIES:
+        raise ValueError("the pages have too many clauses in common to be told apart")
+    return ids
 
 
 def main_content(pages: DataFrame) -> DataFrame:
     """(page_id, block_no INT, text) of the blocks with the main text of each page of ``pages``.
 
     Furniture of the corpus is found in a first pass and known to all tasks of the second.
-    Null and empty pages, and pages without main text, give no rows; repeated rows give
-    repeated rows; further columns are ignored.
+    Furniture of single sites, if ``pages`` has a column ``site``, is joined back to the pages
+    that have it, as there is no bound to the number of sites. Null and empty pages, and pages
+    without main text, give no rows; repeated rows give repeated rows; further columns are
+    ignored.
     """
-    furniture = pages.sparkSession.sparkContext.broadcast(frozenset(furniture_entries(pages)))
+    site = F.col("site").cast("string") if "site" in pages.columns else F.lit(None).cast("string")
+    source = pages.where("html is not null and html <> ''").select(
+        "page_id", "html", F.xxhash64(site, "html").alias("page"), F.when(site != "", F.xxhash64(site)).alias("site")
+    )
+    found = cut(map_batches(source.select("page", "site", "html"), page_entries, ENTRY_SHAPE))
+    furniture = pages.sparkSession.sparkContext.broadcast(frozenset(furniture_entries(found)))
+    if "site" in pages.columns:
+        local = frequent_entries(found.where("site is not null"), ["site"])
+        hits = found.join(local, ["site", "entry"], "left_semi").groupBy("page").agg(F.collect_set("entry").alias("own"))
+        source = source.join(hits, "page", "left").select("page_id", "html", "own")
+    else:
+        source = source.select("page_id", "html", F.lit(None).cast("array<bigint>").alias("own"))
     shape = StructType([pages.schema["page_id"]]).add("block_no", IntegerType()).add("text", StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,12 +387,12 @@ def main_content(pages: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
                 row, no, text = [], [], []
-                for r, page in enumerate(batch.column(1).to_pylist()):
-                    for i, b in main_blocks(page, known):
+                for r, (page, own) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                    for i, b in main_blocks(page, known.union(own) if own else known):
                         row.append(r), no.append(i), text.append(b.text)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(row, pa.int32())), pa.array(no, pa.int32()), pa.array(text, pa.string())],
                     names=["page_id", "block_no", "text"],
                 )
 
-    return map_batches(pages.where("html is not null and html <> ''").select("page_id", "html"), run, shape)
+    return map_batches(source, run, shape)

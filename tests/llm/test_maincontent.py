@@ -89,3 +89,14 @@ def test_near_copies_are_no_furniture(spark):
     assert not any("min read" in r["text"] for r in got)
     for n in range(30):
         assert {r["text"] for r in got if r["page_id"] == 1000 + n} >= {"Copied", *own}
+
+
+def test_furniture_of_a_small_site(spark):
+    """Twelve pages of one site among 6000 have a notice of their own inside and outside the body."""
+    note = "<p>Written by the friends of this house.</p>"
+    rows = [(n, "www.large.example", f"<div><h1>Case</h1><p>{words(n, 1)}, {PROSE}</p></div>") for n in range(6000 - 12)]
+    rows += [(10_000 + n, "www.small.example", varied(n, note)) for n in range(12)]
+    pages = spark.createDataFrame(rows, "page_id bigint, site string, html string")
+    got = [r for r in main_content(pages).collect() if r["page_id"] >= 10_000]
+    assert len({r["page_id"] for r in got}) == 12 and sum(PROSE.strip() in r["text"] for r in got) == 48
+    assert not any("friends" in r["text"] for r in got)
