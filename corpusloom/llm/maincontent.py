@@ -23,6 +23,7 @@ RUNNING = frozenset("a abbr b br code em i small span strong sub sup u".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CELLS = frozenset("td th caption".split())
+ITEMS = frozenset("li dt dd".split())
 #: What an element that begins ends, if it is still open.
 CLOSES = {
     "li": ("li", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "tr": ("tr", "td", "th", "p"), "dt": ("dt", "dd", "p"),
@@ -183,7 +184,8 @@ def body_of(blocks: list[Block], furniture: frozenset[int] = frozenset(), furnis
 
     Each block weighs for or against its elements, text by its path's ratio; of all
     elements the one of the greatest sum, the innermost of equals, is the body, or the
-    innermost with all its headings that has most of that sum. A body
+    innermost with all its headings that has most of that sum; one around it, if all that
+    this adds is headed. Short items under a heading weigh nothing, however many. A body
     needs text of its own under a heading, or several paragraphs; without one the page has
     no main text.
     """
@@ -194,7 +196,12 @@ def body_of(blocks: list[Block], furniture: frozenset[int] = frozenset(), furnis
     gain: dict[int, float] = defaultdict(float)
     holds: dict[int, int] = defaultdict(int)
     titles: list[Block] = []
+    headed: list[bool] = []
+    over: set[int] | None = None
     for i, (b, r) in enumerate(zip(blocks, ratio, strict=True)):
+        if b.tag in HEADINGS:
+            over = set(b.within[:-1])
+        headed.append(over is not None and over <= set(b.within))
         if b.tag == "h1":
             v = 1.5
             titles.append(b)
@@ -214,6 +221,8 @@ def body_of(blocks: list[Block], furniture: frozenset[int] = frozenset(), furnis
             v = -0.05
         elif ends_sentence(b.text):
             v = (0.4 + r) * min(len(b.text), 400) / 100
+        elif b.tag in ITEMS and headed[i]:
+            v = 0.0
         else:
             v = -0.1
         for e in (0, *b.within):
@@ -226,7 +235,11 @@ def body_of(blocks: list[Block], furniture: frozenset[int] = frozenset(), furnis
     best = max(able, key=lambda e: (round(gain[e], 6), e))
     if titles:  # notices around the body may add to it: within, all that is headed is enough
         common = set(titles[0].within).intersection(*(b.within for b in titles))
-        best = max([best, *(e for e in common if holds[e] > 1 and gain[e] >= 0.5 * gain[best])])
+        most = [e for e in common if holds[e] > 1 and gain[e] >= 0.5 * gain[best]]
+        wider = max(most, default=best)
+        if wider < best and all(h or best in b.within for b, h in zip(blocks, headed, strict=True) if wider in b.within):
+            best = wider
+        best = max([best, *(e for e in most if best != wider)])
     inside = {i for i, b in enumerate(blocks) if best == 0 or best in b.within}
     kept = [blocks[i] for i in inside if not furnished[i] and not pointers[i]]
     under = [b for b in kept if b.tag not in HEADINGS]

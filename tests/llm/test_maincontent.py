@@ -100,3 +100,14 @@ def test_furniture_of_a_small_site(spark):
     got = [r for r in main_content(pages).collect() if r["page_id"] >= 10_000]
     assert len({r["page_id"] for r in got}) == 12 and sum(PROSE.strip() in r["text"] for r in got) == 48
     assert not any("friends" in r["text"] for r in got)
+
+
+def test_long_lists_of_short_items():
+    items = "<ul>" + "".join(f"<li>short item {i}</li>" for i in range(60)) + "</ul>"
+    sections = f"<div><h2>Causes</h2>{f'<p>{PROSE * 3}</p>' * 3}</div><div><h2>Names</h2>{items}</div>"
+    got = texts(FRAME.format(body=f"<article><h1>Fever</h1>{sections}</article>"))
+    assert got[:2] == ["Fever", "Causes"] and got[-61:] == ["Names", *(f"short item {i}" for i in range(60))]
+    assert texts(FRAME.format(body=f"<article><h1>Fever</h1><h2>Names</h2>{items}</article>"))[:2] == ["Fever", "Names"]
+    lines = "".join(f"<p>short line {i}</p>" for i in range(60))
+    got = texts(FRAME.format(body=f"<article><h1>Fever</h1>{sections.replace(items, lines)}</article>"))
+    assert got[0] == "Fever" and got[-1] == "short line 59"
