@@ -186,8 +186,8 @@ def body_of(blocks: list[Block], furniture: frozenset[int] = frozenset(), furnis
     elements the one of the greatest sum, the innermost of equals, is the body, or the
     innermost with all its headings that has most of that sum; one around it, if all that
     this adds is headed. Short items under a heading weigh nothing, however many. A body
-    needs text of its own under a heading, or several paragraphs; without one the page has
-    no main text.
+    needs text of its own under a heading, or several paragraphs; ``rest_of`` tells what is
+    main text without one.
     """
     if furnished is None:
         furnished = [is_furniture(b, furniture) for b in blocks]
@@ -249,6 +249,33 @@ def body_of(blocks: list[Block], furniture: frozenset[int] = frozenset(), furnis
     return inside
 
 
+def rest_of(blocks: list[Block], furnished: list[bool], bare: bool = False) -> set[int]:
+    """Indices of the blocks left on a page without a body of its own: a short text, a table or a list.
+
+    What is neither furniture nor pointer is main text, however short, if it stands together,
+    with none of these in between; otherwise notices that nothing tells as furniture cannot
+    be parted from it. ``bare``: only if the page holds nothing else.
+    """
+    lists: dict[tuple[int, ...], list[int]] = defaultdict(list)
+    for i, b in enumerate(blocks):
+        if b.tag in ITEMS:
+            lists[b.within[:-1]].append(i)
+    away = [f or is_pointer(b) or b.tag == "button" or (b.leads and not ends_sentence(b.text)) for b, f in zip(blocks, furnished, strict=True)]
+    for items in lists.values():  # a list is main text or not as a whole
+        out = 2 * sum(away[i] for i in items) > len(items) or any(furnished[i] for i in items)
+        for i in items:
+            away[i] = out
+    for i in range(len(blocks) - 1, -1, -1):  # a heading goes with what it heads
+        if blocks[i].tag in HEADINGS and blocks[i].tag != "h1":
+            away[i] = i + 1 == len(blocks) or away[i + 1] or not set(blocks[i].within[:-1]) <= set(blocks[i + 1].within)
+    left = {i for i, x in enumerate(away) if not x}
+    if all(blocks[i].tag in HEADINGS for i in left):
+        return set()
+    common = set.intersection(*(set(blocks[i].within) for i in left))
+    around = range(len(blocks)) if bare or not common else [i for i, b in enumerate(blocks) if max(common) in b.within]
+    return left if left.issuperset(around) else set()
+
+
 def is_furniture(b: Block, furniture: frozenset[int]) -> bool:
     if b.tag in HEADINGS or b.tag in CELLS:
         return False
@@ -266,7 +293,7 @@ def main_blocks(page: str, furniture: frozenset[int] = frozenset()) -> list[tupl
     """(block_no, block) of the main text of a page, counted from 1."""
     blocks = text_blocks(page)
     furnished = [is_furniture(b, furniture) for b in blocks]
-    inside = body_of(blocks, furniture, furnished)
+    inside = body_of(blocks, furniture, furnished) or rest_of(blocks, furnished)
     out = []
     for i in sorted(inside):
         b = blocks[i]
@@ -299,7 +326,7 @@ def page_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row, body, entry, place, near = [], [], [], [], []
             for r, page in enumerate(batch.column(2).to_pylist()):
                 blocks = text_blocks(page)
-                inside = body_of(blocks)
+                inside = body_of(blocks) or rest_of(blocks, [False] * len(blocks), bare=True)
                 own = [blocks[i].masked() for i in sorted(inside)] or [b.masked() for b in blocks]
                 found: dict[int, int] = {EVERY: WHOLE}
                 for i, b in enumerate(blocks):

@@ -111,3 +111,22 @@ def test_long_lists_of_short_items():
     lines = "".join(f"<p>short line {i}</p>" for i in range(60))
     got = texts(FRAME.format(body=f"<article><h1>Fever</h1>{sections.replace(items, lines)}</article>"))
     assert got[0] == "Fever" and got[-1] == "short line 59"
+
+
+def test_short_pages_without_headings(spark):
+    table = "<table><tr><th>Drug</th><th>Dose</th></tr><tr><td>x</td><td>+5</td></tr></table>"
+    short = {
+        f"<p>{PROSE}</p>": [PROSE.strip()],
+        "<div><p>One short note.</p><p>Two more words.</p></div>": ["One short note.", "Two more words."],
+        table: ["Drug", "Dose", "x", "+5"],
+        "<dl><dt>Fever</dt><dd>High temperature</dd></dl>": ["Fever", "High temperature"],
+        "<ul><li>aspirin</li><li>ibuprofen</li><li>rest</li></ul>": ["aspirin", "ibuprofen", "rest"],
+    }
+    for page, want in short.items():
+        assert texts(page) == want
+    assert texts("<div><a href=/1>Home</a></div>") == [] and texts("<h2>More</h2>") == []
+    # in the frame of a site, once the corpus has taught it
+    rows = [(n, varied(n, "")) for n in range(60)] + [(100 + n, FRAME.format(body=f"<div>{p}</div>")) for n, p in enumerate(short)]
+    got = main_content(spark.createDataFrame(rows, "page_id bigint, html string")).orderBy("page_id", "block_no").collect()
+    for n, want in enumerate(short.values()):
+        assert [r["text"] for r in got if r["page_id"] == 100 + n] == want
