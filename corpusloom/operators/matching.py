@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import collapse, fold, is_plural_pair, label_parts, search_name
+from corpusloom.functions.urls import canonical_url, host, part
 
 #: Words that carry no meaning of their own in a name.
 CONNECTORS = tuple("a an and for in of on or the to with without".split())
@@ -20,6 +21,16 @@ def distinct_names(names: DataFrame, name: str, order: str) -> DataFrame:
     return clean.groupBy(fold(F.col(name)).alias("folded")).agg(F.min(order).alias(order), first.alias(name)).select(order, name)
 
 
+def unique_candidates(candidates: DataFrame, key: str, label: str, url: str, hosts: list[str] | None = None) -> DataFrame:
+    """(key, label): the first candidate of each canonical https address, of ``hosts`` only if given."""
+    safe = F.lower(part(F.col(url), 1)) == "https"
+    if hosts is not None:
+        safe = safe & host(F.col(url)).isin(*hosts)
+    first = F.min_by(F.struct(key, label), F.col(key))
+    kept = candidates.where(safe & F.col(key).isNotNull()).groupBy(canonical_url(F.col(url)).alias("__u")).agg(first.alias("c"))
+    return kept.select("c.*")
+
+
 def match_keys(labels: DataFrame, key: str, label: str) -> DataFrame:
     """(key, label, tier, match_key): all names under which a label can be found.
 

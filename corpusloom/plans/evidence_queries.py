@@ -110,7 +110,7 @@ def page_observations(spark, d):
 
 def resolution_audit(spark, d):
     asked = table(spark, d, "search_candidates").where("search_query is not null")
-    labels = table(spark, d, "search_candidates").where("label is not null").select("candidate_id", "label")
+    labels = matching.unique_candidates(table(spark, d, "search_candidates").where("label is not null"), "candidate_id", "label", "url")
     found = matching.tiered_matches(asked, labels, "search_query", "candidate_id", "label")
     done = table(spark, d, "search_candidates").where("rank_no = 1").select("candidate_id")
     return evidence.resolutions(found, asked, "search_query", done, "candidate_id").groupBy("outcome").agg(F.count("*").alias("names"))

@@ -102,7 +102,7 @@ def evidence(spark, d):
 
 
 def tiered_match(spark, d):
-    labels = table(spark, d, "search_candidates").select("candidate_id", "label").where("label is not null")
+    labels = matching.unique_candidates(table(spark, d, "search_candidates").where("label is not null"), "candidate_id", "label", "url")
     asked = table(spark, d, "search_candidates").select("search_query").where("search_query is not null").distinct()
     return matching.tiered_matches(asked, labels, "search_query", "candidate_id", "label")
 

@@ -87,6 +87,18 @@ def test_tiers(spark):
     assert got == {"asthma": ("exact", 1, 1), "angina": ("alias", 1, 2), "Fever": ("plural", 1, 3), "FLU": ("exact", 2, None)}
 
 
+def test_copies_of_a_page_are_one_candidate(spark):
+    rows = [(1, "Asthma", "https://a.example/x?utm_source=f"), (2, "Asthma", "https://A.example/x#top"), (3, "Flu", "http://a.example/f"), (4, "Flu", "https://b.example/f")]
+    candidates = spark.createDataFrame(rows, "id int, label string, url string")
+    asked = spark.createDataFrame([("asthma",), ("flu",)], "q string")
+
+    def found(hosts):
+        labels = matching.unique_candidates(candidates, "id", "label", "url", hosts)
+        return {r["q"]: (r["n_candidates"], r["id"]) for r in matching.tiered_matches(asked, labels, "q", "id", "label").collect()}
+
+    assert found(None) == {"asthma": (1, 1), "flu": (1, 4)} and found(["a.example"]) == {"asthma": (1, 1)}
+
+
 def test_shorter_queries(spark):
     names = spark.createDataFrame([(1, "Multiple and mixed valvular heart disease"), (2, "HIV/AIDS"), (3, "Down syndrome / Trisomy 21"), (4, "a  b")], "k int, n string")
     got = {}
