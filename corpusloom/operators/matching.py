@@ -34,22 +34,23 @@ def unique_candidates(candidates: DataFrame, key: str, label: str, url: str, hos
 def match_keys(labels: DataFrame, key: str, label: str) -> DataFrame:
     """(key, label, tier, match_key): all names under which a label can be found.
 
-    The plural tier is keyed by the name without its last word's plural ending, so that every
-    tier is an equality join and no label is compared with every query.
+    The plural tier is keyed by each possible singular of the name, so that every tier is an
+    equality join and no label is compared with every query.
     """
     exact = search_name(F.col(label))
     aliases = F.transform(F.slice(label_parts(F.col(label)), 1, F.greatest(F.size(label_parts(F.col(label))) - 1, F.lit(0))), search_name)
     entries = F.concat(
         F.array(F.struct(F.lit("exact").alias("tier"), exact.alias("match_key"))),
         F.transform(aliases, lambda x: F.struct(F.lit("alias").alias("tier"), x.alias("match_key"))),
-        F.array(F.struct(F.lit("plural").alias("tier"), stem(exact).alias("match_key"))),
+        F.transform(singulars(exact), lambda x: F.struct(F.lit("plural").alias("tier"), x.alias("match_key"))),
     )
     return labels.select(key, label, F.inline(F.array_distinct(entries))).where("match_key <> ''")
 
 
-def stem(name: Column) -> Column:
-    """A name that is the same for both numbers of its last word; others may share it too."""
-    return F.regexp_replace(name, r"(ies|y|es|e|s)+$", "")
+def singulars(name: Column) -> Column:
+    """A name with each word that its last one may be the plural of, itself included; others may share one."""
+    made = (F.regexp_replace(name, end, to) for end, to in (("s$", ""), ("es$", ""), ("ies$", "y")))
+    return F.array_distinct(F.array(name, *made))
 
 
 def tiered_matches(queries: DataFrame, labels: DataFrame, query: str, key: str, label: str) -> DataFrame:
@@ -59,13 +60,15 @@ def tiered_matches(queries: DataFrame, labels: DataFrame, query: str, key: str,
     and chooses none. Queries that match nothing give no row.
     """
     asked = queries.select(query).distinct().withColumn("__q", search_name(F.col(query)))
-    keyed = F.array(*[F.struct(F.lit(t).alias("tier"), (stem(F.col("__q")) if t == "plural" else F.col("__q")).alias("match_key")) for t in TIERS])
+    same = F.array(*[F.struct(F.lit(t).alias("tier"), F.col("__q").alias("match_key")) for t in TIERS if t != "plural"])
+    keyed = F.concat(same, F.transform(singulars(F.col("__q")), lambda x: F.struct(F.lit("plural").alias("tier"), x.alias("match_key"))))
     # copies of a label are one row of the join
     labelled = match_keys(labels, key, label).groupBy("tier", "match_key", label).agg(
         F.count_distinct(key).alias("__n"), F.min(key).alias(key)
     )
     found = asked.select(query, F.inline(keyed)).join(labelled, ["tier", "match_key"])
     found = found.where((F.col("tier") != "plural") | is_plural_pair(F.col(query), F.col(label)))
+    found = found.drop("match_key").distinct()  # several singulars may bring up the same pair
     rank = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier"))
     best = found.groupBy(query, rank.alias("rank"), "tier").agg(
         F.sum("__n").alias("n_candidates"), F.min(key).alias(key)

@@ -87,6 +87,16 @@ def test_tiers(spark):
     assert got == {"asthma": ("exact", 1, 1), "angina": ("alias", 1, 2), "Fever": ("plural", 1, 3), "FLU": ("exact", 2, None)}
 
 
+def test_plurals_of_every_ending(spark):
+    pairs = [("Calorie", "Calories"), ("Artery", "Arteries"), ("Virus", "Viruses"), ("Abscess", "Abscesses"), ("Series", "Serieses"), ("Eye", "Eyes")]
+    for turn in (1, -1):
+        two = [p[::turn] for p in pairs]
+        labels = spark.createDataFrame([(n, y) for n, (_, y) in enumerate(two)], "id int, label string")
+        asked = spark.createDataFrame([(x,) for x, _ in two], "q string")
+        got = {(r["q"], r["tier"], r["n_candidates"], r["id"]) for r in matching.tiered_matches(asked, labels, "q", "id", "label").collect()}
+        assert got == {(x, "plural", 1, n) for n, (x, _) in enumerate(two)}
+
+
 def test_copies_of_a_page_are_one_candidate(spark):
     rows = [(1, "Asthma", "https://a.example/x?utm_source=f"), (2, "Asthma", "https://A.example/x#top"), (3, "Flu", "http://a.example/f"), (4, "Flu", "https://b.example/f")]
     candidates = spark.createDataFrame(rows, "id int, label string, url string")
