@@ -21,7 +21,7 @@ def _pages(spark, folder):
 
 
 def p3_found(spark, folder):
-    return maincontent.main_content(_pages(spark, folder)).select("page_id", "block_no")
+    return maincontent.main_content(_pages(spark, folder), texts=False)
 
 
 def p3_text(spark, folder):

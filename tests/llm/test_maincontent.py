@@ -1,6 +1,6 @@
 import re
 
-from corpusloom.llm.maincontent import entry_id, main_blocks, main_content, text_blocks
+from corpusloom.llm.maincontent import Usual, entry_id, main_blocks, main_content, text_blocks
 
 PROSE = "Doctors confirm the diagnosis with an exercise test, and sometimes a tissue sample is necessary as well. "
 FRAME = """<!DOCTYPE html><html><HEAD><title>x</title><style>p{{}}</style><script>var t='</p><div>menu</div>';</script></HEAD><body>
@@ -14,10 +14,12 @@ ARTICLE = """<div><h1>Acute fever</h1><p>Reviewed on 3 March 2026 &middot; 2 min
 
 #: What the pass over a corpus would have learnt of these sites.
 LEARNT = frozenset(map(entry_id, ("=reviewed on 0 march 0 · 0 min read", "sign up for the newsletter today")))
+#: What its articles' bodies are like.
+USUAL = Usual(45.0, 20.0)
 
 
 def texts(page):
-    return [b.text for _, b in main_blocks(page, LEARNT)]
+    return [b.text for _, b in main_blocks(page, LEARNT, USUAL)]
 
 
 def test_blocks():
