@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -71,3 +72,11 @@ def cut(frame: DataFrame) -> DataFrame:
     """``frame`` computed once and kept in the shared folder, with its lineage cut."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def keep(frame: DataFrame) -> DataFrame:
+    """``frame`` written once to a table in the shared folder, from which each step reads only the columns it needs."""
+    spark = frame.sparkSession
+    folder = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    frame.write.parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder)
