@@ -271,7 +271,7 @@ def body_of(page: Page, furnished: list[bool], usual: Usual = Usual()) -> Body:
 
     A content node (``content_nodes``) counts for its elements by its path's ratio, as a share
     of the page's or the usual greatest one, a heading by the ratio of what it heads, and what
-    is neither against them; cells, and items that a heading stands over, do neither. Of all elements the one of the
+    is neither against them; furniture, cells, and items that a heading stands over, do neither. Of all elements the one of the
     greatest sum is the body, or the innermost with all its headings that has most of
     that sum; one around it, if all that this adds is headed. Sums go up the tree once.
     """
@@ -298,7 +298,7 @@ def body_of(page: Page, furnished: list[bool], usual: Usual = Usual()) -> Body:
                 titles.append(b.leaf)
         elif chosen[i]:
             value = ratios[i] / top
-        elif b.tag in CELLS or (b.tag in ITEMS and headed[i] and not furnished[i]):
+        elif furnished[i] or b.tag in CELLS or (b.tag in ITEMS and headed[i]):
             value = 0.0
         else:
             value = AGAINST

@@ -39,11 +39,15 @@ def p4_forms(spark, folder):
 
 
 def p5_found(spark, folder):
-    return survivors.survivor_sources(table(spark, folder, "report_items"))
+    return survivors.survivor_sources(table(spark, folder, "report_items"), doubts=survivors.report_doubts())
 
 
 def p5_records(spark, folder):
-    return survivors.survivor_records(table(spark, folder, "report_items"))
+    return survivors.survivor_records(table(spark, folder, "report_items"), doubts=survivors.report_doubts())
+
+
+def p5_layers(spark, folder):
+    return survivors.survivor_records(table(spark, folder, "report_items"), doubts=survivors.report_doubts(), policy="layers")
 
 
 def p6_ids(spark, folder):
@@ -78,7 +82,7 @@ def queries():
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_pieces, p3_found, p3_text, p4_found, p4_forms, p5_found, p5_records,
+            p1_found, p1_pieces, p3_found, p3_text, p4_found, p4_forms, p5_found, p5_records, p5_layers,
             p6_ids, p7_mix, p7_shares, p7_temperature, p8_found, p8_profile,
         )
     }

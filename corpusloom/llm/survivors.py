@@ -12,6 +12,7 @@ from corpusloom.functions.times import instant_micros
 SPACE = " \t\r\n" + chr(0xA0)
 UNKNOWN_COMPLETENESS = 2**31 - 1
 EARLIEST = -(2**63) + 1
+FIELDS = ("title", "content_hash", "artifact_dir")
 
 
 def missing_count(names: Column) -> Column:
@@ -24,112 +25,126 @@ def missing_count(names: Column) -> Column:
     return F.when(names.isNull(), UNKNOWN_COMPLETENESS).otherwise(F.size(kept))
 
 
+def report_doubts() -> Column:
+    """Marks against a row of report_items, 0 (trusted) to 2: an error, artifacts not complete."""
+    error = F.col("last_error_code").isNotNull() & (F.btrim("last_error_code") != "")
+    return error.cast("int") + (~F.coalesce(F.col("complete_artifact_set"), F.lit(False))).cast("int")
+
+
 def dominance_layers(cells: Column) -> Column:
-    """The Pareto layer (1 is undominated) of each cell of an array sorted by completeness.
+    """The Pareto layer (1 is undominated) of each cell of a sorted array.
 
-    Cells differ in completeness and are structs whose field ``late`` is the age of their
-    most recent row (smaller is later). A cell lies behind a more complete one that is at
-    least as recent: its layer is one more than the deepest such cell's.
+    Cells are structs that begin with completeness ``n``, age ``late`` and ``doubts``, each better
+    if smaller, in this order of sorting. A cell lies behind one that is nowhere worse and somewhere
+    better; its layer is one more than the deepest such cell's, all of which come before it.
     """
-    start = F.array().cast("array<struct<late:bigint,layer:int>>")
-
-    def step(done: Column, cell: Column) -> Column:
-        over = F.filter(done, lambda x: x["late"] <= cell["late"])
-        layer = F.coalesce(F.array_max(F.transform(over, lambda x: x["layer"])), F.lit(0)) + 1
-        return F.concat(done, F.array(F.struct(cell["late"].alias("late"), layer.cast("int").alias("layer"))))
+    start = F.array().cast("array<struct<n:int,late:bigint,doubts:int,layer:int>>")
 
-    return F.aggregate(cells, start, step, lambda done: F.transform(done, lambda x: x["layer"]))
+    def behind(cell: Column):
+        def test(x: Column) -> Column:
+            same = (x["n"] == cell["n"]) & (x["late"] == cell["late"]) & (x["doubts"] == cell["doubts"])
+            return (x["n"] <= cell["n"]) & (x["late"] <= cell["late"]) & (x["doubts"] <= cell["doubts"]) & ~same
 
+        return test
 
-def _skyline_choice(cells: Column, value: str) -> Column:
-    """The row that the policy takes among the cells that offer ``value``, with its layer.
+    def step(done: Column, cell: Column) -> Column:
+        over = F.transform(F.filter(done, behind(cell)), lambda x: x["layer"])
+        layer = (F.coalesce(F.array_max(over), F.lit(0)) + 1).cast("int")
+        return F.concat(done, F.array(F.struct(cell["n"].alias("n"), cell["late"].alias("late"), cell["doubts"].alias("doubts"), layer.alias("layer"))))
 
-    Cells without the value are no candidates. Of the others, the undominated ones come
-    before all deeper layers, and within a layer the policy is lexicographic: more
-    complete, then later, then the smaller row id.
-    """
-    offers = F.transform(
-        F.filter(cells, lambda c: c[value].isNotNull()),
-        lambda c: F.struct(c["n"].alias("n"), c[value]["late"].alias("late"), c[value]["id"].alias("id")),
-    )
-    ranked = F.zip_with(
-        offers,
-        dominance_layers(offers),
-        lambda c, layer: F.struct(layer.alias("layer"), c["n"].alias("n"), c["late"].alias("late"), c["id"].alias("id")),
-    )
-    return F.array_min(ranked)
+    return F.aggregate(cells, start, step, lambda done: F.transform(done, lambda x: x["layer"]))
 
 
-def surviving_rows(
+def skyline_cells(
     rows: DataFrame,
     key: str = "item_id",
     row_id: str = "report_row_id",
     missing: str = "missing_fields",
     seen: str = "checked_at",
-    fields: Sequence[str] = ("title", "content_hash", "artifact_dir"),
+    fields: Sequence[str] = FIELDS,
+    doubts: Column | None = None,
     least_rows: int = 2,
+    values: bool = False,
 ) -> DataFrame:
-    """(key, n_rows, record, and of each of ``fields`` the row it is taken from).
+    """(key, n_rows, cells) of each key with ``least_rows`` rows: its cells, with their Pareto layers.
 
-    Each choice is a struct (layer, n, late, id). Dominance is over completeness (``missing``)
-    and recency (``seen``); trust is the order of delivery (``row_id``), which decides
-    between rows equal in both. 'record' is the best row as a whole; a field is filled
-    from the skyline of the rows whose value is neither null nor blank, so from as deep
-    a layer of the whole group as needed, and is null if no row offers one.
+    A cell stands for all rows of a key that are equally complete (``missing``), equally
+    trusted (``doubts``; null: all are) and offer the same of ``fields``: it is the latest
+    (``seen``) of them, then that of the smallest ``row_id``, as that row offers all that the
+    others do and is nowhere worse. Cells are structs (n, late, doubts, id, offers, layer and, with
+    ``values``, the values of the fields); layers are over all cells of the key. ``offers`` has
+    bit i for field i.
 
-    Rows are first reduced to one cell for each key and completeness, before any shuffle:
-    within a cell the latest row (then the smallest id) dominates, so a key with a third
-    of all rows becomes as many cells as there are different counts of missing fields.
+    Rows become cells before any shuffle, so a key with a third of all rows is as many
+    cells as its rows differ in completeness, trust and offers.
 
     Rows with a null key are left out; a blank key is a group of its own. Repeated rows
     count as rows. A null ``missing`` ranks behind every list, null or unreadable ``seen``
     is earliest. Further columns are ignored; an empty table gives no rows.
     """
-    late = -F.coalesce(instant_micros(F.col(seen)), F.lit(EARLIEST))
-    row = F.struct(late.alias("late"), F.col(row_id).alias("id"))
-    usable = {f: F.col(f).isNotNull() & (F.btrim(F.col(f), F.lit(SPACE)) != "") for f in fields}
-    names = ["record", *[f"from_{f}" for f in fields]]
-    prepared = rows.where(F.col(key).isNotNull()).select(
-        F.lower(F.btrim(F.col(key), F.lit(SPACE))).alias("key"),
-        missing_count(F.col(missing)).alias("n"),
-        row.alias("record"),
-        *[F.when(usable[f], row).alias(f"from_{f}") for f in fields],
-    )
-    cells = prepared.groupBy("key", "n").agg(F.count("*").alias("rows"), *[F.min(x).alias(x) for x in names])
-    groups = cells.groupBy("key").agg(
-        F.sum("rows").alias("n_rows"), F.sort_array(F.collect_list(F.struct("n", *names))).alias("cells")
-    )
-    return groups.where(F.col("n_rows") >= least_rows).select(
-        F.col("key").alias(key),
-        "n_rows",
-        _skyline_choice(F.col("cells"), "record").alias("record"),
-        *[_skyline_choice(F.col("cells"), f"from_{f}").alias(f) for f in fields],
+    usable = [F.col(f).isNotNull() & (F.btrim(F.col(f), F.lit(SPACE)) != "") for f in fields]
+    offers = F.lit(0)
+    for i, u in enumerate(usable):
+        offers = offers + F.when(u, 1 << i).otherwise(0)
+    best = [(-F.coalesce(instant_micros(F.col(seen)), F.lit(EARLIEST))).alias("late"), F.col(row_id).alias("id")]
+    if values:
+        best.append(F.struct(*[F.when(u, F.col(f)).alias(f) for f, u in zip(fields, usable, strict=True)]).alias("values"))
+    cells = (
+        rows.where(F.col(key).isNotNull())
+        .select(
+            F.lower(F.btrim(F.col(key), F.lit(SPACE))).alias("key"),
+            missing_count(F.col(missing)).alias("n"),
+            (F.lit(0) if doubts is None else F.coalesce(doubts, F.lit(UNKNOWN_COMPLETENESS))).cast("int").alias("doubts"),
+            offers.alias("offers"),
+            F.struct(*best).alias("best"),
+        )
+        .groupBy("key", "n", "doubts", "offers")
+        .agg(F.count("*").alias("rows"), F.min("best").alias("best"))
     )
+    parts = ["n", F.col("best.late").alias("late"), "doubts", F.col("best.id").alias("id"), "offers"]
+    parts += [F.col("best.values").alias("values")] if values else []
+    groups = cells.groupBy("key").agg(F.sum("rows").alias("n_rows"), F.sort_array(F.collect_list(F.struct(*parts))).alias("cells"))
+    kept = ["n", "late", "doubts", "id", "offers", *(["values"] if values else [])]
+    layered = F.zip_with("cells", dominance_layers(F.col("cells")), lambda c, layer: F.struct(layer.alias("layer"), *[c[x].alias(x) for x in kept]))
+    return groups.where(F.col("n_rows") >= least_rows).select(F.col("key").alias(key), "n_rows", layered.alias("cells"))
 
 
-def survivor_sources(rows: DataFrame, **how) -> DataFrame:
-    """(item_id, field_name, report_row_id): which row gives the record and each field."""
-    fields = how.get("fields", ("title", "content_hash", "artifact_dir"))
-    key, row_id = how.get("key", "item_id"), how.get("row_id", "report_row_id")
-    chosen = surviving_rows(rows, **how)
-    each = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f)["id"].alias(row_id)) for f in ("record", *fields)])
-    return chosen.select(key, F.inline(F.filter(each, lambda x: x[row_id].isNotNull())))
+def _choice(cells: Column, bit: int | None, policy: str) -> Column:
+    """The cell that gives the record (``bit`` null) or a field, by ``policy``.
 
+    Of each layer the lexicographically first cell that offers the field is a candidate
+    (more complete, then later, then the smaller row id; no other cell of the layer can
+    come before it). 'layers' takes the candidate of the first layer that has one, so that
+    nulls are filled from successive layers; 'rank' takes the first of all candidates.
+    """
+    offering = cells if bit is None else F.filter(cells, lambda c: c["offers"].bitwiseAND(1 << bit) != 0)
+    order = ["n", "late", "id", "layer"] if policy == "rank" else ["layer", "n", "late", "id"]
+    return F.array_min(F.transform(offering, lambda c: F.struct(*[c[x].alias(x) for x in order], c.alias("cell"))))["cell"]
 
-def survivor_records(rows: DataFrame, fields: Sequence[str] = ("title", "content_hash", "artifact_dir"), **how) -> DataFrame:
-    """The surviving record of each key: its best row's id, its filled fields, and their layers."""
-    key, row_id = how.get("key", "item_id"), how.get("row_id", "report_row_id")
-    chosen = surviving_rows(rows, fields=fields, **how)
-    wanted = chosen.select(
-        F.col(key).alias("k"),
-        F.inline(F.filter(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f)["id"].alias("id")) for f in fields]), lambda x: x["id"].isNotNull())),
-    )
-    values = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))])
-    given = rows.select(F.col(row_id).alias("id"), values.alias("values"))
-    filled = wanted.join(given, "id").groupBy("k").agg(
-        *[F.max(F.when(F.col("f") == f, F.try_element_at("values", F.lit(f)))).alias(f) for f in fields]
-    )
-    heads = chosen.select(
-        F.col(key), "n_rows", F.col("record")["id"].alias(row_id), *[F.col(f)["layer"].alias(f"{f}_layer") for f in fields]
-    )
-    return heads.join(filled, heads[key] == filled["k"], "left").drop("k")
+
+def survivor_sources(rows: DataFrame, fields: Sequence[str] = FIELDS, key: str = "item_id", row_id: str = "report_row_id", **how) -> DataFrame:
+    """(key, field_name, row_id): which row gives the record, and each field, by rank."""
+    groups = skyline_cells(rows, key=key, row_id=row_id, fields=fields, **how)
+    each = [
+        F.struct(F.lit(name).alias("field_name"), _choice(F.col("cells"), bit, "rank")["id"].alias(row_id))
+        for name, bit in (("record", None), *((f, i) for i, f in enumerate(fields)))
+    ]
+    return groups.select(key, F.inline(F.filter(F.array(*each), lambda x: x[row_id].isNotNull())))
+
+
+def survivor_records(
+    rows: DataFrame, fields: Sequence[str] = FIELDS, key: str = "item_id", row_id: str = "report_row_id", policy: str = "rank", **how
+) -> DataFrame:
+    """(key, n_rows, row_id, layer, and of each of ``fields`` its value and layer): the surviving record of each key.
+
+    ``policy`` 'rank' gives the rows of ``survivor_sources``; a field's layer tells how far
+    behind the undominated rows of the whole group its row lies. 'layers' fills each field
+    from the first layer that offers it. Values travel in the cells: there is no join.
+    """
+    groups = skyline_cells(rows, key=key, row_id=row_id, fields=fields, values=True, **how)
+    chosen = groups.select(
+        F.col(key), "n_rows", _choice(F.col("cells"), None, policy).alias("c"),
+        *[_choice(F.col("cells"), i, policy).alias(f"c{i}") for i in range(len(fields))],
+    )
+    filled = [x for i, f in enumerate(fields) for x in (F.col(f"c{i}.values")[f].alias(f), F.col(f"c{i}.layer").alias(f"{f}_layer"))]
+    return chosen.select(key, "n_rows", F.col("c.id").alias(row_id), F.col("c.layer").alias("layer"), *filled)
