@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
@@ -15,24 +17,31 @@ from corpusloom.runtime import map_batches
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, CHARACTER = range(6)
 #: What a cut at each kind of boundary costs, what one directly after a heading costs more,
 #: and what each piece costs, as its deviation from equal sizes is counted by its square.
-COSTS = (0.0, 0.6, 1.0, 2.5, 4.0, 40.0)
+#: Two cuts at ends of sentences or better, and the piece between, cost at most 16 more than
+#: none, so a cut at a clause or word is never best where such ends are no more than a piece
+#: apart; likewise one within a word where words are (at most 56 more).
+COSTS = (0.0, 0.6, 1.0, 20.0, 24.0, 60.0)
 AFTER_HEADING = 3.0
 PIECE = 2.0
 BALANCE = 2.0
-#: At most one boundary, the best, is kept in a stretch of this many characters (of less than
-#: an eighth of a piece).
-CELL = 48
-
-PARAGRAPHS = re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)(?:[ \t]*(?:\r\n|\n|\r))*")
-LINES = re.compile(r"\r\n|[\n\r\v\f\x85" + chr(0x2028) + chr(0x2029) + "]")
-SENTENCES = re.compile(r"[.!?…։؟।۔]+[\"'”’»)\]*_]*\s+(?=\S)|[。！？｡]+[」』）”’]*")
-CLAUSES = re.compile(r"[,;:]\s+|[，；：、]")
-WORDS = re.compile(r"\s+(?=\S)")
-HEADINGS = re.compile(r"(?m)^([ \t]{0,3}#{1,6}[ \t][^\r\n]*)(?:\r\n|\n|\r)?")
+#: Stretches longer than a piece without any boundary may be cut between the grapheme clusters
+#: nearest to each multiple of a piece's length by this number.
+GRID = 64
+
+BREAK = "\n\r\v\f\x85" + chr(0x2028) + chr(0x2029)
+#: Each matches at a place: where the next text begins after a blank line, a line end, a sentence ...
+#: Runs are taken as a whole and from their first character only, so that time is linear.
+PARAGRAPHS = re.compile(r"(?<![\n\r \t])[ \t]*+(?:\r\n|\n|\r)[ \t]*+(?:\r\n|\n|\r)(?:[ \t]*+(?:\r\n|\n|\r))*+")
+LINES = re.compile(rf"(?<![{BREAK}])[{BREAK}]++")
+SENTENCES = re.compile(r"(?<![.!?…։؟।۔])([.!?…։؟।۔]++)[\"'”’»)\]*_]*+\s++(?=\S)|[。！？｡]++[」』）”’]*+")
+CLAUSES = re.compile(r"[,;:]\s++|[，；：、]")
+WORDS = re.compile(r"(?<!\s)\s++(?=\S)")
+CLUSTERS = regex.compile(r"\X")
+HEADINGS = re.compile(r"(?m)^([ \t]{0,3}#{1,6}[ \t][^\r\n]*+)(?:\r\n|\n|\r)?+")
 #: Words that end in a full stop within a sentence.
 ABBREVIATION = re.compile(
     r"(?:\b(?:dr|prof|mr|mrs|ms|st|vs|cf|ch|fig|no|nr|al|approx|ca|bzw|vgl|kap|abb|max|min|usw|etc|sog|inkl)|"
-    r"\b(?:e\.\s?g|i\.\s?e|z\.\s?b|d\.\s?h|u\.\s?a|a\.\s?m|p\.\s?m)|\b\w)\.\s+$",
+    r"\b(?:e\.\s?g|i\.\s?e|z\.\s?b|d\.\s?h|u\.\s?a|a\.\s?m|p\.\s?m)|\b\w)\.$",
     re.IGNORECASE,
 )
 
@@ -50,7 +59,7 @@ def boundaries(text: str) -> dict[int, float]:
     for m in LINES.finditer(text):
         add(m.end(), LINE)
     for m in SENTENCES.finditer(text):
-        if not ABBREVIATION.search(text[max(0, m.end() - 16) : m.end()]):
+        if not m.group(1) or not ABBREVIATION.search(text[max(0, m.end(1) - 16) : m.end(1)]):
             add(m.end(), SENTENCE)
     costs = {at: COSTS[kind] for at, kind in found.items()}
     for m in HEADINGS.finditer(text):
@@ -60,82 +69,61 @@ def boundaries(text: str) -> dict[int, float]:
     return costs
 
 
-def _thin(costs: dict[int, float], cell: int) -> list[tuple[int, float]]:
-    best: dict[int, tuple[float, int]] = {}
-    for at, cost in costs.items():
-        k = at // cell
-        if k not in best or (cost, at) < best[k]:
-            best[k] = (cost, at)
-    return sorted((at, cost) for cost, at in best.values())
-
-
 def cut_places(text: str, limit: int = 4000, overlap: int = 200) -> list[int]:
     """Ends of the pieces of ``text``; the last is its length. See ``split_oversized``."""
     n, step = len(text), limit - overlap
     if n <= limit:
         return [n]
-    cell = max(1, min(CELL, step // 8))
-    places = _thin(boundaries(text), cell)
-    # between far boundaries: clauses and words, and where there is none, grapheme clusters
-    for widest, finer, cost in ((step // 3, (CLAUSES, WORDS), (COSTS[CLAUSE], COSTS[WORD])), (step, None, None)):
-        more: dict[int, float] = {}
-        edges = [0, *[at for at, _ in places], n]
+    costs = boundaries(text)
+    for finer in (((CLAUSES, CLAUSE), (WORDS, WORD)), None):
+        edges = [0, *sorted(costs), n]
         for a, b in zip(edges, edges[1:]):
-            if b - a <= widest:
+            if b - a <= step:
                 continue
-            if finer:
-                for pattern, c in zip(finer, cost, strict=True):
-                    for m in pattern.finditer(text, a, b):
-                        if a < m.end() < b:
-                            more[m.end()] = min(c, more.get(m.end(), c))
-            else:
-                more |= dict.fromkeys(_between_clusters(text, a, b, step), COSTS[CHARACTER])
-        places = sorted([*places, *_thin(more, cell)])
-    ends = [0, *[at for at, _ in places], n]
-    price = [0.0, *[cost for _, cost in places], 0.0]
-    pieces = max(1, -(-(n - overlap) // step))
-    ideal = (n - overlap) / pieces
-    best, back = [0.0] + [float("inf")] * (len(ends) - 1), [0] * len(ends)
-    first = 0
+            for pattern, kind in finer or ():
+                for m in pattern.finditer(text, a, b):
+                    if a < m.end() < b:
+                        costs.setdefault(m.end(), COSTS[kind])
+            if not finer:
+                costs |= dict.fromkeys(_between_clusters(text, a, b, max(1, step // GRID)), COSTS[CHARACTER])
+    # the first piece is as long as its end, any other its end less that of the one before and the overlap
+    places = sorted(at for at in costs if at > overlap)
+    ends = np.array([overlap, *places, n], dtype=np.int64)
+    price = np.array([0.0, *(costs[at] for at in places), 0.0]) + PIECE
+    ideal = (n - overlap) / -(-(n - overlap) // step)
+    first = np.searchsorted(ends, ends - step)
+    best, back = np.zeros(len(ends)), np.zeros(len(ends), dtype=np.int64)
     for j in range(1, len(ends)):
-        end = ends[j]
-        while end - ends[first] > (limit if first == 0 else step):
-            first += 1
-        low, at = float("inf"), -1
-        for i in range(first, j):
-            size = end - ends[i] - (overlap if i == 0 else 0)
-            off = size / ideal - 1
-            c = best[i] + BALANCE * off * off
-            if c < low:
-                low, at = c, i
-        best[j], back[j] = low + price[j] + PIECE, at
+        i = first[j]
+        off = (ends[j] - ends[i:j]) / ideal - 1
+        total = best[i:j] + BALANCE * off * off
+        back[j] = at = i + total.argmin()
+        best[j] = total[at - i] + price[j]
     out, j = [], len(ends) - 1
     while j > 0:
-        out.append(ends[j])
+        out.append(int(ends[j]))
         j = back[j]
     return out[::-1]
 
 
-def _between_clusters(text: str, a: int, b: int, step: int) -> list[int]:
-    """Places between grapheme clusters of a stretch without any boundary, near even parts.
+def _between_clusters(text: str, a: int, b: int, stride: int) -> list[int]:
+    """Places between grapheme clusters in ``text[a:b]``, one near each ``stride`` characters.
 
-    A cluster that is itself longer than a piece is cut inside, as nothing else is possible.
+    A cluster longer than twice that is cut inside, as nothing else is possible.
     """
-    import regex
-
-    stride = min(step // 4, 400) or 1
     out, at = [], a
     while at + stride < b:
-        target = at + stride
-        m = regex.compile(r"\X").match(text, max(at, target - 64))
-        place = target
-        last = max(at, target - 64)
+        place = target = at + stride
+        last = at  # clusters are found from the last place on, so that none is split
+        m = CLUSTERS.match(text, last)
         while m and m.end() <= target:
             last = m.end()
-            m = regex.compile(r"\X").match(text, last)
+            m = CLUSTERS.match(text, last)
         if last > at:
             place = last
-        if text[place - 1] == "\r" and text[place : place + 1] == "\n":
+        elif m and m.end() <= at + 2 * stride and m.end() < b:
+            place = m.end()
+        if text[place - 1] == "\r" and text[place : place + 1] == "\n" and place + 1 < b:
             place += 1
         out.append(place)
         at = place
@@ -152,7 +140,7 @@ def split_oversized(
     ``overlap`` characters of the one before it, so that the pieces lose nothing. Cuts come
     where the sum of their costs (paragraphs before lines, sentences, clauses and words;
     grapheme clusters only where a stretch has none of these), of the pieces, and of the
-    imbalance of sizes is least.
+    imbalance of sizes is least over all boundaries. No cut is within the first ``overlap`` characters.
 
     A text within the limit is one piece, an empty one an empty piece; a null text has none.
     Repeated rows give repeated pieces. Further columns, whatever their names, are ignored.

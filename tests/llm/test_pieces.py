@@ -1,4 +1,4 @@
-import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -52,45 +52,60 @@ def test_any_text(text, limit, overlap):
     check(text, cut_places(text, limit, overlap), limit, overlap)
 
 
-def best_cost(text, limit, overlap):
-    """The least cost by trying every set of the places that the operator may use."""
+def every_boundary(text):
+    """What a cut at each place costs, words and clauses included, and places within words."""
     from corpusloom.llm import pieces as p
 
-    costs = p.boundaries(text)
-    places = sorted(costs)
-    ideal_n = max(1, -(-(len(text) - overlap) // (limit - overlap)))
-    ideal = (len(text) - overlap) / ideal_n
-    best = float("inf")
-    for mask in range(1 << len(places)):
-        ends = [at for i, at in enumerate(places) if mask >> i & 1] + [len(text)]
-        begin, total, ok = 0, 0.0, True
-        for e in ends:
-            if e - max(0, begin - overlap if begin else 0) > limit:
-                ok = False
-                break
-            size = e - begin - (overlap if begin == 0 else 0)
-            total += p.BALANCE * (size / ideal - 1) ** 2 + p.PIECE + costs.get(e, 0.0)
-            begin = e
-        if ok:
-            best = min(best, total)
-    return best
-
-
-def test_cost_is_least():
+    costs = dict.fromkeys(range(1, len(text)), p.COSTS[p.CHARACTER])
+    costs |= {m.end(): p.COSTS[p.WORD] for m in p.WORDS.finditer(text)}
+    costs |= {m.end(): p.COSTS[p.CLAUSE] for m in p.CLAUSES.finditer(text) if m.end() < len(text)}
+    return costs | p.boundaries(text)
+
+
+def cost(ends, costs, n, limit, overlap):
     from corpusloom.llm import pieces as p
 
-    random.seed(4)
-    for _ in range(20):
-        text = "".join(random.choice(["x" * random.randint(60, 200) + random.choice([". ", "\n", "\n\n"])]) + "B" for _ in range(9))
-        limit, overlap = 700, 50
+    ideal = (n - overlap) / max(1, -(-(n - overlap) // (limit - overlap)))
+    total, begin = 0.0, overlap
+    for e in ends:
+        total += p.BALANCE * ((e - begin) / ideal - 1) ** 2 + p.PIECE + (costs[e] if e < n else 0.0)
+        begin = e
+    return total
+
+
+def least_cost(text, limit, overlap):
+    """The least cost over all places, by trying every last piece of every prefix."""
+    from corpusloom.llm import pieces as p
+
+    n, costs = len(text), every_boundary(text)
+    ideal = (n - overlap) / max(1, -(-(n - overlap) // (limit - overlap)))
+    best = {overlap: 0.0}
+    for e in range(overlap + 1, n + 1):
+        before = [b for b in best if 0 < e - b <= limit - overlap]
+        if before:
+            own = p.PIECE + (costs[e] if e < n else 0.0)
+            best[e] = min(best[b] + p.BALANCE * ((e - b) / ideal - 1) ** 2 for b in before) + own
+    return best[n]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["aa", "bbbb. ", "c, ", "dd ", "e", "\n", "\n\n", "# f\n", "gg! "]), min_size=60, max_size=140), st.integers(60, 90), st.integers(0, 9))
+def test_cost_is_least(parts, limit, overlap):
+    """All boundaries have a part in it, not only those that the operator looks at (pieces here are
+    shorter than GRID, so that it may cut at any cluster)."""
+    text = "".join(parts)
+    if len(text) > limit:
         ends = cut_places(text, limit, overlap)
-        costs, begin, total = p.boundaries(text), 0, 0.0
-        ideal = (len(text) - overlap) / max(1, -(-(len(text) - overlap) // (limit - overlap)))
-        for e in ends:
-            size = e - begin - (overlap if begin == 0 else 0)
-            total += p.BALANCE * (size / ideal - 1) ** 2 + p.PIECE + costs.get(e, 0.0)
-            begin = e
-        assert total <= best_cost(text, limit, overlap) + 1e-9
+        check(text, ends, limit, overlap)
+        assert cost(ends, every_boundary(text), len(text), limit, overlap) <= least_cost(text, limit, overlap) + 1e-6
+
+
+@pytest.mark.parametrize("run", [" ", "\t", "\n", " \n", ".", "# ", "a\n", ",", '."', "x"])
+def test_time_is_linear(run):
+    for text in ("a" * 4001 + run * (1_000_000 if len(run) == 1 else 100_000), run * (1_000_000 if len(run) == 1 else 100_000) + "a. " * 2000):
+        begun = time.process_time()
+        check(text, cut_places(text), 4000, 200)
+        assert time.process_time() - begun < (20 if run == "a\n" else 5)
 
 
 def test_table(spark):
