@@ -12,7 +12,11 @@ from pyspark.sql.types import StringType
 PLURAL_ES = r"(s|x|z|ch|sh)$"
 ICD = r"^[A-Z]\d[\dA-Z.]*$"
 #: Text that must not appear in stored content, and keys that hold secrets.
-HTML_MARKERS = r"(?i)<!doctype|<html|<body|<script|<iframe|<div|<span|<table|</"
+HTML_MARKERS = (
+    r"(?i)<!doctype|<\s*/?\s*(?:html|head|body|script|style|form|iframe|input|button|nav|footer|header|aside|article|div|"
+    r"span|p|h[1-6]|table|tr|t[dh]|ul|ol|li|a)\b"
+)
+HTML_KEYS = ("raw_html", "html", "content_html", "clean_html", "dom", "page_source")
 SECRET_KEYS = ("password", "passwd", "secret", "token", "api_key", "authorization", "cookie", "username")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
+from urllib.parse import parse_qsl, urlencode, urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,37 +22,38 @@ def part(url: Column, n: int) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, no ending slashes, no fragment, no tracking, query sorted.
+    """Scheme and host in lower case, no ending slashes, parameters, fragment or tracking; the query's
+    pairs decoded, sorted by key and value, and encoded again. Null stays null.
 
-    Queries are compared as written; ``canonical_url_exact`` decodes them. Null stays null.
+    Escapes that are no UTF-8 decode to the replacement character.
     """
-    path = F.when(part(url, 3) == "", "/").otherwise(F.regexp_replace(part(url, 3), r";[^/]*$", ""))
-    path = F.when(path == "/", path).otherwise(F.rtrim(path, F.lit("/")))
-    pairs = F.filter(F.split(part(url, 4), "&"), lambda x: (x != "") & ~F.lower(x).startswith("utm_"))
-    query = F.array_join(F.array_sort(pairs), "&")
+    path = F.regexp_replace(part(url, 3), r";[^/]*$", "")
+    path = F.when(path.isin("", "/"), "/").otherwise(F.rtrim(path, F.lit("/")))
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+
+    def pair(x: Column) -> Column:
+        given = F.split(x, "=", 2)
+        return F.struct(decoded(given[0]).alias("k"), decoded(F.coalesce(F.get(given, F.lit(1)), F.lit(""))).alias("v"))
+
+    pairs = F.transform(F.filter(F.split(part(url, 4), "&"), lambda x: x != ""), pair)
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).startswith("utm_")))
+    # '*' is the one mark that the two encoders treat differently, '~' the other
+    encoded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))), "&")
     head = F.concat(F.lower(part(url, 1)), F.lit("://"), F.lower(part(url, 2)), path)
     return F.when(query == "", head).otherwise(F.concat(head, F.lit("?"), query))
 
 
-@F.pandas_udf(StringType())
-def canonical_url_exact(urls: pd.Series) -> pd.Series:
-    """As ``canonical_url``, with queries decoded, sorted by key and value, and encoded again."""
-
-    def one(u):
-        if u is None:
-            return None
-        try:
-            s = urlsplit(u)
-        except ValueError:
-            return None
-        path = s.path.rsplit("/", 1)
-        last = path[-1].split(";", 1)[0]
-        whole = "/".join([*path[:-1], last]) or "/"
-        whole = whole if whole == "/" else whole.rstrip("/")
-        pairs = sorted((k, v) for k, v in parse_qsl(s.query, keep_blank_values=True) if not k.lower().startswith("utm_"))
-        return urlunsplit((s.scheme.lower(), s.netloc.lower(), whole, urlencode(pairs), ""))
-
-    return urls.map(one)
+def canonical_text(url: str) -> str:
+    """``canonical_url`` of one address, for code that holds it as text."""
+    head, _, rest = url.partition("://")
+    rest = rest.partition("#")[0]
+    rest, _, query = rest.partition("?")
+    host_name, slash, path = rest.partition("/")
+    folder, _, last = path.rpartition("/")
+    path = (f"{folder}/" if "/" in path else "") + last.partition(";")[0]
+    pairs = sorted(p for p in parse_qsl(query, keep_blank_values=True) if not p[0].lower().startswith("utm_"))
+    return f"{head.lower()}://{host_name.lower()}/{path}".rstrip("/") + ("" if path.strip("/") else "/") + (f"?{urlencode(pairs)}" if pairs else "")
 
 
 @F.pandas_udf(StringType())
